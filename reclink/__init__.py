@@ -1 +1,10 @@
-"""A PySpark-native record-linkage and text-normalisation engine."""
+"""A PySpark-native record-linkage and text-normalisation engine.
+
+Functions that run on executors are pickled by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
