@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import LETTERS, U64, Words, mapped, stored, table, text_bytes
 
-PER_CLASS = 3000
-FIT_CHARS = 12_000
+PER_CLASS = 1500
+FIT_CHARS = 8_000
 BITS = 18
 PREFIXES = (3, 4, 5, 6, 8)
 BREAK = np.zeros(256, bool)
@@ -53,14 +53,14 @@ class Chains:
         self.doc = np.repeat(np.arange(len(off) - 1), np.diff(w.first))
         shape = head.astype(np.int64) + 2 * upper
         size = 1 << BITS
-        cols = [(w.hash & MASK).astype(np.int64)]
+        cols = [(w.hash & MASK).astype(np.int32)]
         length = w.end - w.start
         for k in PREFIXES:
-            f = ((w.hashed(k, seed=k) & MASK)).astype(np.int64)
+            f = (w.hashed(k, seed=k) & MASK).astype(np.int32)
             f[length < k] = size + SHAPES  # no such prefix: a feature whose weight stays 0
             cols.append(f)
-        cols.append(size + shape)
-        self.features = np.stack(cols, axis=1) if n else np.zeros((0, len(cols)), np.int64)
+        cols.append((size + shape).astype(np.int32))
+        self.features = np.stack(cols, axis=1) if n else np.zeros((0, len(cols)), np.int32)
 
 
 WIDTH = (1 << BITS) + SHAPES + 1
@@ -148,6 +148,7 @@ def fit_chain(c: Chains, y: np.ndarray, epochs: int = 8, batch: int = 3000, l2:
     rng = np.random.default_rng(3)
     cold = np.flatnonzero(~hot)
     use = np.concatenate([np.flatnonzero(hot), rng.permutation(cold)[: max(20_000, 3 * hot.sum())]])
+    del sentence
     start = np.flatnonzero(c.head)
     length = np.diff(np.append(start, len(c.head)))
     w, t = np.zeros(WIDTH), np.zeros(4)
