@@ -10,12 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reclink.llm.common import stored, table
+from reclink.llm.decontaminate import decontamination_stage
 from reclink.llm.near_dedup import near_dedup_stage
+from reclink.llm.pieces import pieces_stage
+from reclink.llm.pii import pii_stage
 from reclink.llm.toxicity import clean_stage
 
 STAGES = [
     ("toxicity", clean_stage),
     ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("pieces", pieces_stage),
 ]
 
 #: Training a chain and sampling segmentations are beyond SQL; tests hold the stages against brute force.
