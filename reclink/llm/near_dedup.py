@@ -10,9 +10,9 @@ candidates, and those that agree often enough are confirmed on the full sets.
 A set of Jaccard similarity 0.85 misses the threshold with probability below 1e-7 (``miss_probability``).
 
 Groups are never expanded into pairs. Equal sets form one class. In a posting list, members are compared
-with one centre a round (another one for each list and round) and lists whose members are all connected are
-left. What the star rounds leave is compared across components only, without a cap, so no link that joins
-two components is lost.
+with one centre a round (the most typical member first, then others) and lists whose members are all connected are
+left. What the star rounds leave is compared across components only, block by block and without a cap, so no
+link that joins two components is lost.
 
 Defined cases: null texts and texts without words have no shingles, are linked with nothing and stay; texts
 of fewer than three words have one shingle; rows that repeat a doc_id count as one document and each returns
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, U64, Words, bloom_bitmap, bloom_column, bloom_test, int64, mix, slices, stored, table, text_bytes
 
-COORDS, MATCHES = 40, 20
+COORDS, MATCHES = 40, 22
 SHINGLE = 3
 PERCENT = 85
-ROUNDS = 4
+ROUNDS = 2
+MEMBERS, SHINGLES = 512, 100_000
 _SEED = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
 
 
@@ -132,6 +133,56 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int,
     return full.withColumn("i", common).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
+def common_sizes(a: np.ndarray, abegin: np.ndarray, b: np.ndarray, bbegin: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets x[i] of one block and y[i] of another (sorted members, offsets)."""
+    names, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n, m = len(abegin) - 1, len(bbegin) - 1
+    if (n + m) * len(names) <= 20_000_000:
+        p, q = np.zeros((n, len(names)), np.float32), np.zeros((m, len(names)), np.float32)
+        p[np.repeat(np.arange(n), np.diff(abegin)), code[: len(a)]] = 1
+        q[np.repeat(np.arange(m), np.diff(bbegin)), code[len(a) :]] = 1
+        return (p @ q.T)[x, y].astype(np.int64)
+    return np.array([len(np.intersect1d(a[abegin[i] : abegin[i + 1]], b[bbegin[j] : bbegin[j + 1]], assume_unique=True)) for i, j in zip(x, y, strict=True)], np.int64)
+
+
+def across(members: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of different components among the members of each list: ``members`` (pair, id, comp).
+
+    A list is cut into blocks of about MEMBERS members and SHINGLES shingles, and blocks meet blocks. Signatures
+    and full sets are compared where the blocks meet, so that texts that are alike but not linked never become
+    rows: what is shuffled grows with the blocks of a list, not with its pairs."""
+    sized = members.join(sigs.select(F.col("doc_id").alias("id"), "n", "sig"), "id")
+    sizes = sized.groupBy("pair").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    cut = sized.join(sizes, "pair").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets.select(F.col("doc_id").alias("id"), "members"), "id")
+    packed = cut.groupBy("pair", "block").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("id", "comp", "n", "sig", "members")).alias("x"))
+    left = packed.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    met = left.join(packed.select("pair", F.col("block").alias("other"), F.col("x").alias("y")), ["pair", "other"]).select("x", "y")
+
+    def unpacked(cell):
+        v = cell.values
+        whole = lambda k: v.field(k).to_numpy(zero_copy_only=False)
+        lists = v.field(4)
+        return whole(0), whole(1), whole(2), v.field(3).flatten().to_numpy().reshape(len(v), -1), lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, ca, na, sa, ma, ba = unpacked(batch.column(0)[i])
+                b, cb, nb, sb, mb, bb = unpacked(batch.column(1)[i])
+                good = (ca[:, None] != cb[None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :]))
+                agree = np.zeros(good.shape, np.int16)
+                for k in range(sa.shape[1]):
+                    agree += sa[:, k, None] == sb[None, :, k]
+                x, y = np.nonzero(good & (agree >= matches))
+                if len(x):
+                    c = common_sizes(ma, ba, mb, bb, x, y)
+                    linked = 100 * c >= percent * (na[x] + nb[y] - c)
+                    x, y = x[linked], y[linked]
+                yield pa.RecordBatch.from_arrays([int64(np.minimum(a[x], b[y])), int64(np.maximum(a[x], b[y]))], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coords: int = COORDS, matches: int = MATCHES, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows = stored(signatures(docs, doc_id, text, coords), "near-signatures")
@@ -145,7 +196,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     listed = posted.join(common, "pair").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "pair"))).alias("p"))  # coords entries at most
     # Pairs of frequency 1 come first in the order; they use up places of the prefix and lead nowhere.
     places = F.greatest(F.lit(0), F.lit(coords - matches + 1) - (F.lit(coords) - F.size("p")))
-    lists = stored(listed.select(F.col("doc_id").alias("id"), F.explode(F.slice("p", F.lit(1), places)).alias("x")).select("id", F.col("x.pair").alias("pair")), "near-postings")
+    # How typical a set is: the postings that its pairs have in all. The most typical member of a list is near
+    # the text that the others were copied from, and most of them link to it at once.
+    typical = F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("typical")
+    lists = stored(listed.select(F.col("doc_id").alias("id"), typical, F.explode(F.slice("p", F.lit(1), places)).alias("x")).select("id", "typical", F.col("x.pair").alias("pair")), "near-postings")
     live = lists.groupBy("pair").agg(F.count("*").alias("c")).where("c > 1").select("pair")
     lists = stored(lists.join(live, "pair", "left_semi"), "near-lists")
     ids = lists.select(F.col("id").alias("doc_id")).distinct()
@@ -154,20 +208,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels, edges, tested = None, None, None
     for r in range(rounds + 1):
         at = lists.withColumn("comp", F.col("id")) if labels is None else lists.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = at.groupBy("pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("pair", "id", F.lit(r)), "id", "comp")).alias("centre")).where("lo <> hi")
+        mixed = at.groupBy("pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct((-F.col("typical") if r == 0 else F.xxhash64("pair", "id", F.lit(r))).alias("rank"), "id", "comp")).alias("centre")).where("lo <> hi")
         open_ = at.join(mixed.select("pair", F.col("centre.id").alias("c"), F.col("centre.comp").alias("cc")), "pair")
         if r < rounds:
             pairs = open_.where("comp <> cc").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         else:
-            other = open_.select("pair", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-            pairs = open_.join(other, "pair").where("id < id2 and comp <> comp2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+            pairs = across(open_.select("pair", "id", "comp"), sigs, sets, matches, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "near-pairs")
         if pairs.isEmpty():
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = stored(confirmed(pairs, sigs, sets, matches, percent), "near-links")
+        links = pairs if r == rounds else stored(confirmed(pairs, sigs, sets, matches, percent), "near-links")
         if not links.isEmpty():
             edges = links if labels is None else links.unionByName(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")))
             labels = stored(components(edges), "near-labels")
