@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import decontaminate, html_text, near_dedup, pieces, pii, quality, topk, toxicity, urls
+from . import decontaminate, html_text, near_dedup, pieces, pii, quality, substring_dedup, topk, toxicity, urls
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_urls": urls.op6_urls,
     "op7_quality": quality.op7_quality,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_topk": topk.op9_topk,
     "op10_html": html_text.op10_html,
 }
@@ -17,5 +18,6 @@ ORACLES = {
     "op4_decontamination": decontaminate.ORACLE,
     "op5_near_dedup": near_dedup.ORACLE,
     "op6_urls": urls.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_topk": topk.ORACLE,
 }
