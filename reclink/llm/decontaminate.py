@@ -163,8 +163,11 @@ def _search_block(index: DataFrame, words: np.ndarray, size: np.ndarray, names:
                     items[d].update(owner[lead[p] : lead[p + 1]])
                 cols = [pa.array(s.doc_ids), int64(np.diff(s.begins)), int64(np.diff(hit[s.begins])), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
                 if spans:
-                    runs = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(cover)[:total] > 0).astype(np.int8), [0]])))
-                    a, b = runs[::2], runs[1::2]
+                    flag = np.cumsum(cover)[:total] > 0
+                    edge = np.zeros(total + 1, bool)
+                    edge[s.begins] = True  # a run ends with its document
+                    a = np.flatnonzero(flag & (np.append(True, ~flag[:-1])[:total] | edge[:total]))
+                    b = np.flatnonzero(flag & (np.append(~flag[1:], True)[:total] | edge[1:])) + 1
                     cols = [pa.array(s.doc_ids[s.doc_of(a)]), int64(a - s.begins[s.doc_of(a)]), int64(b - s.begins[s.doc_of(a)])]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "first", "last"])
                 else:

@@ -96,7 +96,7 @@ def luhn(number: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda s, x: s + x) % 10 == 0
 
 
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
 def valid(kind: str, v: Column) -> Column:
@@ -253,7 +253,8 @@ def find(df: DataFrame, text: str = "text", weights: dict[str, float] | None = N
     given = with_candidates(df, text)
     weights = fit(given) if weights is None else weights
     plain = lambda x, base: F.struct(x["start"], x["kind"], x["end"], F.lit(base).alias("base"))
-    kept = F.filter("_more", lambda x: probability(x, weights) >= cut)
+    # A candidate that fails its checksum or range is never added, however little data the weights are from.
+    kept = F.filter("_more", lambda x: (x["votes"]["check"] >= 0) & (probability(x, weights) >= cut))
     # Of candidates that overlap, the one that starts first stays, the longer one of a tie.
     seen = F.aggregate(F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("a"), (-x["end"]).alias("b"), plain(x, False).alias("x")))), F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<start: int, kind: int, end: int, base: boolean>>").alias("out")), lambda s, y: F.when(y["a"] >= s["end"], F.struct((-y["b"]).alias("end"), F.concat(s["out"], F.array(y["x"])).alias("out"))).otherwise(s), lambda s: s["out"])
     return given.withColumn("pii_spans", F.array_sort(F.concat(F.transform("_base", lambda x: plain(x, True)), seen))).drop("_base", "_more")
