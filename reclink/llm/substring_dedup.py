@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, U64, Words, bloom_bitmap, bloom_column, bloom_test, int64, mix, slices, stored, table, text_bytes
 
-WINDOW, LEVELS = 20, 4
+WINDOW, LEVELS = 20, 3
 FAR = 1 << 40
+SPAN = 64  # a stretch is shorter than two windows: its place and length fit one number
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
@@ -149,7 +150,8 @@ def _stretches(part: pa.RecordBatch) -> pa.RecordBatch:
     doc = np.repeat(np.arange(docs), np.diff(w.first))
     ids = part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     null = np.asarray(part.column(0).is_null().to_numpy(zero_copy_only=False))
-    cols = [np.zeros(0, U64)] * 3 + [np.zeros(0, np.int64)] * 4
+    cols = [np.zeros(0, U64)] * 2 + [np.zeros(0, np.int64)] * 3
+    again = np.zeros(0, bool)
     if len(w.hash):
         valid, level, name, phrase = anchors(w.hash, doc, w.first)
         valid &= ~null[doc]
@@ -160,21 +162,23 @@ def _stretches(part: pa.RecordBatch) -> pa.RecordBatch:
             head[1:] = (mark[1:] != mark[:-1]) | (np.diff(s) > 1) | (doc[s[1:]] != doc[s[:-1]])
             a = s[head]
             b = s[np.append(np.flatnonzero(head)[1:] - 1, len(s) - 1)] + WINDOW
-            u1, u2 = Digests(w.hash).of(a, b)
-            u2 = mix(u2 + (phrase[a] - a).astype(U64) * _A + level[a].astype(U64))
+            digest = Digests(w.hash).of(a, b)
+            # Two digests of the stretch, the anchor's name and place mixed into them, name it in 128 bits.
+            key, u = name[a], mix(digest[0] + mix(digest[1] + (phrase[a] - a).astype(U64) * _A + level[a].astype(U64)))
             at, did = a - w.first[doc[a]], ids[doc[a]]
-            top = firsts(u1, u2, did, at)
-            cols = [name[a], u1, u2, did, at, b - a, np.where(top, 1, 2)]
+            again = ~firsts(key, u, did, at)
+            cols = [key, u, did, at * SPAN + (b - a), np.where(again, 2, 1)]
     raw, off = text_bytes(part.column(1))
     raw = raw.tobytes()
     shas = [hashlib.sha256(b" ".join(raw[off[i] : off[i + 1]].split())).hexdigest() for i in range(docs)]
     n = len(cols[0])
     none = pa.nulls(docs, pa.int64())
-    join = lambda k: pa.concat_arrays([none, int64(cols[k])])
+    # What repeats within the slice is settled here and needs no name any more.
+    named = lambda x: pa.concat_arrays([none, pa.array(x.view(np.int64), mask=again)])
     return pa.RecordBatch.from_arrays([
-        pa.concat_arrays([pa.array(np.zeros(docs, np.int64)), int64(cols[6])]), join(0), join(1), join(2), pa.concat_arrays([part.column(0), int64(cols[3])]), join(4),
-        pa.concat_arrays([int64(np.diff(w.first)), int64(cols[5])]), pa.array(shas + [None] * n, pa.string()),
-    ], names=["kind", "key", "u1", "u2", "doc_id", "at", "size", "sha"])
+        pa.concat_arrays([pa.array(np.zeros(docs, np.int64)), int64(cols[4])]), named(cols[0]), named(cols[1]), pa.concat_arrays([part.column(0), int64(cols[2])]),
+        pa.concat_arrays([int64(np.diff(w.first)), int64(cols[3])]), pa.array(shas + [None] * n, pa.string()),
+    ], names=["kind", "key", "u", "doc_id", "span", "sha"])
 
 
 def _windows(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -212,21 +216,22 @@ def _needed(docs: DataFrame, given: DataFrame, doc_id: str, text: str) -> DataFr
 def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(one row a document: doc_id, n_words, sha of all words; repeated word ranges: doc_id, at, size)."""
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = "kind long, key long, u1 long, u2 long, doc_id long, at long, size long, sha string"
-    parts = stored(given.mapInArrow(lambda batches: (_stretches(p) for p in slices(batches)), schema), "stretches")
-    rows = parts.where("kind = 1").select("key", "u1", "u2", "doc_id", "at", "size")
-    groups = stored(rows.groupBy("key", "u1", "u2").agg(F.min(F.struct("doc_id", "at", "size")).alias("first"), F.count("*").alias("c")), "stretch-groups")
-    many = groups.where("c > 1").select("u1", "u2", F.col("first.doc_id").alias("d"), F.col("first.at").alias("a"))
-    later = rows.join(many, ["u1", "u2"]).where("doc_id > d or (doc_id = d and at > a)").select("doc_id", "at", "size")
+    at, size = F.floor(F.col("span") / SPAN).alias("at"), (F.col("span") % SPAN).alias("size")
+    parts = stored(given.mapInArrow(lambda batches: (_stretches(p) for p in slices(batches)), "kind long, key long, u long, doc_id long, span long, sha string"), "stretches")
+    rows = parts.where("kind = 1").select("key", "u", "doc_id", "span")
+    # A document lies in one slice, which sends the first of its equal stretches only: the smallest doc_id is the first.
+    first = [F.min("doc_id").alias("d"), F.min_by("span", "doc_id").alias("span"), F.count("*").alias("c")]
+    groups = stored(rows.groupBy("key", "u").agg(*first), "stretch-groups")
+    later = rows.join(groups.where("c > 1").select("key", "u", "d"), ["key", "u"]).where("doc_id > d").select("doc_id", at, size)
     split = groups.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
-    unsure = groups.join(split, "key", "left_semi").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.at", "first.size")).alias("spans"))  # as long as the document at most
+    unsure = groups.join(split, "key", "left_semi").select(F.col("d").alias("doc_id"), F.struct(at, size).alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("spans"))  # as long as the document at most
     unsure = stored(unsure, "stretch-unsure")
     wins = stored(_needed(docs, unsure, doc_id, text).select("doc_id", "text", "spans").mapInArrow(lambda batches: (_windows(p) for p in slices(batches)), "kind long, u1 long, u2 long, doc_id long, at long"), "stretch-windows")
     one = wins.where("kind = 1").select("u1", "u2", "doc_id", "at")
-    twice = one.groupBy("u1", "u2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("c")).where("c > 1").select("u1", "u2", F.col("first.doc_id").alias("d"), F.col("first.at").alias("a"))
-    again = one.join(twice, ["u1", "u2"]).where("doc_id > d or (doc_id = d and at > a)").select("doc_id", "at").unionByName(wins.where("kind = 2").select("doc_id", "at"))
-    ranges = parts.where("kind = 2").select("doc_id", "at", "size").unionByName(later).unionByName(again.withColumn("size", F.lit(WINDOW).cast("long")))
-    return parts.where("kind = 0").select("doc_id", F.col("size").alias("n_words"), "sha"), ranges
+    twice = one.groupBy("u1", "u2").agg(F.min("doc_id").alias("d"), F.count("*").alias("c")).where("c > 1").select("u1", "u2", "d")
+    again = one.join(twice, ["u1", "u2"]).where("doc_id > d").select("doc_id", "at").unionByName(wins.where("kind = 2").select("doc_id", "at"))
+    ranges = parts.where("kind = 2").select("doc_id", at, size).unionByName(later).unionByName(again.withColumn("size", F.lit(WINDOW).cast("long")))
+    return parts.where("kind = 0").select("doc_id", F.col("span").alias("n_words"), "sha"), ranges
 
 
 def _cut(part: pa.RecordBatch):
