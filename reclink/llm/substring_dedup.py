@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACED, U64, Words, bloom_bitmap, bloom_column, bloom_test, int64, mix, slices, stored, table, text_bytes
@@ -218,13 +218,14 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     at, size = F.floor(F.col("span") / SPAN).alias("at"), (F.col("span") % SPAN).alias("size")
     parts = stored(given.mapInArrow(lambda batches: (_stretches(p) for p in slices(batches)), "kind long, key long, u long, doc_id long, span long, sha string"), "stretches")
-    rows = parts.where("kind = 1").select("key", "u", "doc_id", "span")
-    # A document lies in one slice, which sends the first of its equal stretches only: the smallest doc_id is the first.
-    first = [F.min("doc_id").alias("d"), F.min_by("span", "doc_id").alias("span"), F.count("*").alias("c")]
-    groups = stored(rows.groupBy("key", "u").agg(*first), "stretch-groups")
-    later = rows.join(groups.where("c > 1").select("key", "u", "d"), ["key", "u"]).where("doc_id > d").select("doc_id", at, size)
-    split = groups.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
-    unsure = groups.join(split, "key", "left_semi").select(F.col("d").alias("doc_id"), F.struct(at, size).alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("spans"))  # as long as the document at most
+    # One shuffle, by the anchor's name, serves both questions: which stretches come later than an equal one, and
+    # which names occur with more than one text. A slice sends one row for each of its different stretches.
+    rows = parts.where("kind = 1").select("key", "u", "doc_id", "span").repartition("key")
+    by_text, by_name = Window.partitionBy("key", "u"), Window.partitionBy("key")
+    judged = rows.withColumn("d", F.min("doc_id").over(by_text)).withColumn("texts", F.min("u").over(by_name) != F.max("u").over(by_name))
+    judged = stored(judged.where("doc_id > d or texts").select("doc_id", "span", (F.col("doc_id") > F.col("d")).alias("later")), "stretch-judged")
+    later = judged.where("later").select("doc_id", at, size)
+    unsure = judged.where("not later").select("doc_id", F.struct(at, size).alias("x")).groupBy("doc_id").agg(F.collect_set("x").alias("spans"))  # as long as the document at most
     unsure = stored(unsure, "stretch-unsure")
     wins = stored(_needed(docs, unsure, doc_id, text).select("doc_id", "text", "spans").mapInArrow(lambda batches: (_windows(p) for p in slices(batches)), "kind long, u1 long, u2 long, doc_id long, at long"), "stretch-windows")
     one = wins.where("kind = 1").select("u1", "u2", "doc_id", "at")
