@@ -72,6 +72,21 @@ def named_pairs(sym, start, end, left, right, doc, level: int):
     return name[keep], start[keep], np.where(joins, end[nxt], end)[keep], lo[keep], hi[keep], doc[keep]
 
 
+def least(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where ``rank`` is smallest in each range [a, b), the first of equal ones: a sparse table of powers of two."""
+    best, place, size = np.arange(len(rank)), a.copy(), b - a
+    k = 1
+    while True:
+        now = (size >= k) & (size < 2 * k)
+        x, y = best[a[now]], best[b[now] - k]
+        place[now] = np.where(rank[x] <= rank[y], x, y)
+        if not (size >= 2 * k).any():
+            return place
+        x, y = best[:-k], best[k:]
+        best = np.where(rank[x] <= rank[y], x, y)
+        k *= 2
+
+
 def anchors(h: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int = WINDOW, levels: int = LEVELS):
     """For each window start: (level, name, phrase start) of its anchor; valid marks the window starts."""
     n = len(h)
@@ -89,26 +104,19 @@ def anchors(h: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int = WIN
         sym, start, end, left, right, _ = layers[k]
         fits = (right - left <= window) & (left >= 0)
         j = np.flatnonzero(fits)
-        lo, hi = np.maximum(right[j] - window, 0), left[j]
+        # Both ends of the names' stretches rise, so the names that fit into a window are neighbours in ``j``.
+        low = np.concatenate([[0], np.cumsum(np.bincount(left[j], minlength=n))])
+        high = np.cumsum(np.bincount(right[j], minlength=n + 1))
+        s = np.flatnonzero(open_)
+        a, b = low[s], high[s + window]
+        s, a, b = s[b > a], a[b > a], b[b > a]
+        if not len(s):
+            continue
         # The longest name first, then the smallest hash: one number, the smaller the better.
         rank = ((U64(255) - np.minimum(end[j] - start[j], 255).astype(U64)) << U64(56)) | (mix(sym[j]) >> U64(8))
-        best, where = np.full(n, ~U64(0)), np.full(n, FAR)
-        for step in (0, 1):
-            for delta in range(window):
-                s = lo + delta
-                go = s <= hi
-                if not go.any():
-                    break
-                s, r = s[go], rank[go]
-                if step == 0:
-                    np.minimum.at(best, s, r)
-                else:
-                    same = best[s] == r
-                    np.minimum.at(where, s[same], j[go][same])
-        got = open_ & (where < FAR)
-        w = where[got]
-        name[got], phrase[got], level[got] = mix(sym[w] + U64(k) * _B), start[w], k
-        open_ &= ~got
+        w = j[least(rank, a, b)]
+        name[s], phrase[s], level[s] = mix(sym[w] + U64(k) * _B), start[w], k
+        open_[s] = False
     return valid, level, name, phrase
 
 
