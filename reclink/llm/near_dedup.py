@@ -150,13 +150,20 @@ def across(members: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, p
 
     A list is cut into blocks of about MEMBERS members and SHINGLES shingles, and blocks meet blocks. Signatures
     and full sets are compared where the blocks meet, so that texts that are alike but not linked never become
-    rows: what is shuffled grows with the blocks of a list, not with its pairs."""
+    rows: what is shuffled grows with the blocks of a list, not with its pairs. Look-alikes share many pairs, so
+    many lists have the same members; of those, by a 128-bit digest of the members, one is compared. A list of
+    one block meets itself where it was gathered."""
+    digest = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"h{k}") for k in (0, 1)]
+    same = members.groupBy("pair").agg(F.count("*").alias("c"), *digest).groupBy("c", "h0", "h1").agg(F.min("pair").alias("pair"))
+    members = members.join(same.select("pair"), "pair", "left_semi")
     sized = members.join(sigs.select(F.col("doc_id").alias("id"), "n", "sig"), "id")
     sizes = sized.groupBy("pair").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
     cut = sized.join(sizes, "pair").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets.select(F.col("doc_id").alias("id"), "members"), "id")
-    packed = cut.groupBy("pair", "block").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("id", "comp", "n", "sig", "members")).alias("x"))
+    item = F.collect_list(F.struct("id", "comp", "n", "sig", "members"))
+    alone = cut.where("blocks = 1").groupBy("pair").agg(item.alias("x")).select("x", F.col("x").alias("y"))
+    packed = cut.where("blocks > 1").groupBy("pair", "block").agg(F.max("blocks").alias("blocks"), item.alias("x"))
     left = packed.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
-    met = left.join(packed.select("pair", F.col("block").alias("other"), F.col("x").alias("y")), ["pair", "other"]).select("x", "y")
+    met = left.join(packed.select("pair", F.col("block").alias("other"), F.col("x").alias("y")), ["pair", "other"]).select("x", "y").unionByName(alone)
 
     def unpacked(cell):
         v = cell.values
