@@ -157,6 +157,38 @@ def cross_country_rescue(d):
       SELECT q, rid, votes FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY votes DESC, rid) AS k FROM v) x WHERE k <= 5"""
 
 
+def exact_key_join_whole(d):
+    """``exact_key_join`` with the buckets of any size: the SQL it is checked with leaves out those over 100."""
+    return f"""WITH {d.party()}, k AS (SELECT entity_id, source, country, {d.sorted_words(d.clean('name'))} AS key FROM party), n AS (SELECT source, country, key, count(*) AS c FROM k WHERE source > 1 AND key <> '' GROUP BY source, country, key)
+      SELECT q.entity_id AS query, r.entity_id AS candidate, n.c AS bucket FROM k q JOIN n ON q.country = n.country AND q.key = n.key JOIN k r ON r.source = n.source AND r.country = n.country AND r.key = n.key WHERE q.source = 1"""
+
+
+def _classes(d, of, most, bands=8):
+    """Band keys of all sizes, one posting for a class of records that agree in all bands: the records of a class
+    have the same votes and go by its smallest id. ``of`` names the classes of candidates; only the ``most``
+    smallest ids of one can be among the ``most`` best of a query: x holds those, xb and yb the classes' keys."""
+    class_ = f"PARTITION BY {of}, keys"
+    keys = ", ".join(f"concat_ws(':', {i}, m{2 * i}, m{2 * i + 1})" for i in range(bands))
+    return f"""{_bands(d, bands).rsplit(", b AS (", 1)[0]}, c AS (SELECT doc_id, source, country, array({keys}) AS keys FROM m),
+      x AS (SELECT doc_id AS rid, {of}, keys, rc, i FROM (SELECT *, row_number() OVER ({class_} ORDER BY doc_id) AS i, min(doc_id) OVER ({class_} ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rc FROM c WHERE source > 1) z WHERE i <= {most}),
+      yc AS (SELECT country, keys, min(doc_id) AS qc FROM c WHERE source = 1 GROUP BY country, keys), y AS (SELECT doc_id AS q, c.country, qc FROM c JOIN yc ON yc.country = c.country AND yc.keys = c.keys WHERE source = 1),
+      xb AS (SELECT {of}, rc, key FROM x{d.explode('keys', 'e', 'key')} WHERE i = 1), yb AS (SELECT country, qc, key FROM yc{d.explode('keys', 'e', 'key')})"""
+
+
+def lsh_vote_topk_whole(d):
+    """``lsh_vote_topk`` with the keys of any size: the SQL it is checked with leaves out those over 200 postings."""
+    return f"""WITH {_classes(d, 'source, country', 30)}, v AS (SELECT yb.country, qc, source, rc, count(*) AS votes FROM yb JOIN xb ON yb.country = xb.country AND yb.key = xb.key GROUP BY yb.country, qc, source, rc),
+      t AS (SELECT * FROM (SELECT v.country, qc, v.source, rid, votes, row_number() OVER (PARTITION BY v.country, qc, v.source ORDER BY votes DESC, rid) AS k FROM v JOIN x ON x.source = v.source AND x.country = v.country AND x.rc = v.rc) z WHERE k <= 30)
+      SELECT q, source, rid, votes, CAST(k AS BIGINT) AS rk FROM t JOIN y ON y.country = t.country AND y.qc = t.qc"""
+
+
+def cross_country_rescue_whole(d):
+    """``cross_country_rescue`` with the keys of any size: the SQL it is checked with leaves out those over 200 postings."""
+    return f"""WITH {_classes(d, 'country', 5)}, v AS (SELECT yb.country, qc, xb.country AS other, rc, count(*) AS votes FROM yb JOIN xb ON yb.key = xb.key WHERE yb.country <> xb.country GROUP BY yb.country, qc, xb.country, rc),
+      t AS (SELECT * FROM (SELECT v.country, qc, rid, votes, row_number() OVER (PARTITION BY v.country, qc ORDER BY votes DESC, rid) AS k FROM v JOIN x ON x.country = v.other AND x.rc = v.rc) z WHERE k <= 5)
+      SELECT q, rid, votes FROM t JOIN y ON y.country = t.country AND y.qc = t.qc"""
+
+
 def _routes(d):
     return f"""{d.party()}, k AS (SELECT doc_id, source, country, {d.clean('name')} AS name, {d.clean('address')} AS address FROM party),
       e AS (SELECT q.doc_id AS q, r.doc_id AS rid, 'exact_name' AS route, 1 AS rk FROM k q JOIN k r ON q.country = r.country AND q.name = r.name WHERE q.source = 1 AND r.source > 1 AND q.name <> ''),
@@ -312,6 +344,7 @@ def run(plan, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {p.__name__: partial(run, p) for p in PLANS}
+QUERIES |= {p.__name__.removesuffix("_whole"): partial(run, p) for p in (exact_key_join_whole, lsh_vote_topk_whole, cross_country_rescue_whole)}
 QUERIES |= {"jaro_winkler_pairs": similarity.jaro_winkler_pairs, "fuzzy_ratio_pairs": similarity.fuzzy_ratio_pairs, "trained_lr_score": scoring.trained_lr_score, "trained_tree_score": scoring.trained_tree_score, "stream_resume": resume.event_totals}
 ORACLES = {p.__name__: p(DUCK) for p in PLANS}
 ORACLES |= {
