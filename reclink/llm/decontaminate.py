@@ -6,8 +6,10 @@ where its documents begin. ``search`` reads segments and, for each test phrase,
 rarest terms of the segment, shifts them by the terms' offsets in the phrase and intersects them, the rarest
 first, which leaves the exact occurrences. Segments hold whole documents, so nothing is shuffled.
 
-Test phrases reach the executors in blocks of at most ``BLOCK`` phrases (80 bytes each); a larger benchmark
-is searched block by block, so what is broadcast does not grow with it.
+Test phrases reach the executors in blocks of about ``BLOCK`` phrases (80 bytes each; an item is not cut). The
+items of a larger benchmark are cut into blocks that are searched and stored one after the other, so the driver
+holds two blocks of items and the phrases of one at most, whatever the benchmark. What the blocks find is united
+by segment and place in it, not by doc_id.
 
 ``proximity`` returns places where all distinct words of a phrase stand within a given span, in any order.
 
@@ -33,7 +35,7 @@ SEGMENT = "doc_ids binary, begins binary, terms binary, lists binary, positions
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored index: one row a segment. ``lists`` holds where each term's postings start."""
+    """The stored index: one row a segment, by number. ``lists`` holds where each term's postings start."""
 
     def run(batches):
         for part in slices(batches):
@@ -45,7 +47,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cols], names=["doc_ids", "begins", "terms", "lists", "positions"])
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    return stored(given.mapInArrow(run, SEGMENT), "postings")
+    return stored(given.mapInArrow(run, SEGMENT).withColumn("segment", F.monotonically_increasing_id()), "postings")
 
 
 class Segment:
@@ -136,9 +138,6 @@ def phrases(texts: list, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray,
     return np.array(rows, U64).reshape(-1, window), np.array(size, np.int64), np.array(item, np.int64)
 
 
-
-
-
 def _search_block(index: DataFrame, words: np.ndarray, size: np.ndarray, names: np.ndarray, spans: bool) -> DataFrame:
     distinct, back = np.unique(np.column_stack([words, size.astype(U64)]), axis=0, return_inverse=True)
     order = np.argsort(back.ravel(), kind="stable")
@@ -149,7 +148,7 @@ def _search_block(index: DataFrame, words: np.ndarray, size: np.ndarray, names:
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                s = Segment(*[c[row].as_buffer() for c in batch.columns])
+                s = Segment(*[c[row].as_buffer() for c in batch.columns[:5]])
                 phrase, place = s.find(w, n)
                 total, docs = int(s.begins[-1]), len(s.doc_ids)
                 cover = np.zeros(total + 1, np.int64)
@@ -161,53 +160,61 @@ def _search_block(index: DataFrame, words: np.ndarray, size: np.ndarray, names:
                 items: list[set] = [set() for _ in range(docs)]
                 for d, p in pair:
                     items[d].update(owner[lead[p] : lead[p + 1]])
-                cols = [pa.array(s.doc_ids), int64(np.diff(s.begins)), int64(np.diff(hit[s.begins])), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                name = [pa.array(np.full(docs, batch.column(5)[row].as_py())), int64(np.arange(docs))]
+                found = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
                 if spans:
                     flag = np.cumsum(cover)[:total] > 0
                     edge = np.zeros(total + 1, bool)
                     edge[s.begins] = True  # a run ends with its document
                     a = np.flatnonzero(flag & (np.append(True, ~flag[:-1])[:total] | edge[:total]))
                     b = np.flatnonzero(flag & (np.append(~flag[1:], True)[:total] | edge[1:])) + 1
-                    cols = [pa.array(s.doc_ids[s.doc_of(a)]), int64(a - s.begins[s.doc_of(a)]), int64(b - s.begins[s.doc_of(a)])]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "first", "last"])
+                    of = s.doc_of(a)
+                    ends = np.searchsorted(of, np.arange(docs + 1)).astype(np.int32)
+                    runs = [pa.ListArray.from_arrays(pa.array(ends), int64(x - s.begins[of])) for x in (a, b)]
+                    part = pa.RecordBatch.from_arrays([*name, found, *runs], names=["segment", "number", "items", "first", "last"])
+                    yield part.filter(pa.array(np.diff(ends) > 0))
                 else:
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "items"])
+                    yield pa.RecordBatch.from_arrays([*name, pa.array(s.doc_ids), int64(np.diff(s.begins)), int64(np.diff(hit[s.begins])), found], names=["segment", "number", "doc_id", "n_words", "n_hit", "items"])
 
-    return index.mapInArrow(run, "doc_id long, first long, last long" if spans else "doc_id long, n_words long, n_hit long, items array<string>")
+    return index.mapInArrow(run, "segment long, number long, items array<string>, first array<long>, last array<long>" if spans else "segment long, number long, doc_id long, n_words long, n_hit long, items array<string>")
 
 
-def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids, sorted as strings)."""
-    blocks, got, size = [], [], 0
+def item_blocks(benchmark: DataFrame, item_id: str, text: str):
+    """The items (i, t) in lists of about BLOCK phrases; the last one can be empty."""
+    got, size = [], 0
     given = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null and i is not null")
     for row in given.toLocalIterator(prefetchPartitions=False):
         got.append(row)
         size += len(row["t"]) // 2
         if size > BLOCK:
-            blocks.append(got)
+            yield got
             got, size = [], 0
-    blocks.append(got)
-    out = []
-    for got in blocks:
+    yield got
+
+
+def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids, sorted as strings)."""
+
+    def block(got, spans):
         words, n, item = phrases([r["t"] for r in got], window)
         names = np.array([r["i"] for r in got], dtype=object)
-        out.append((words, n, names[item] if len(item) else np.zeros(0, object)))
-    if len(out) == 1:
-        return _search_block(index, *out[0], spans=False)
+        return _search_block(index, words, n, names[item] if len(item) else np.zeros(0, object), spans)
+
+    blocks = item_blocks(benchmark, item_id, text)
+    ahead = [next(blocks), next(blocks, [])]
+    if not ahead[1]:
+        return block(ahead[0], spans=False).drop("segment", "number")
     # More blocks: their covered runs are united, as two blocks can hit the same word.
-    lengths = _search_block(index, out[0][0][:0], out[0][1][:0], out[0][2][:0], spans=False)
-    if not (repeated := lengths.groupBy("doc_id").count().where("count > 1")).isEmpty():
-        raise ValueError(f"a benchmark of more than one block needs distinct doc_ids; repeated: {repeated.count()}")
-    runs, items = None, None
-    for block in out:
-        x = _search_block(index, *block, spans=True)
-        y = _search_block(index, *block, spans=False).where("n_hit > 0").select("doc_id", "items")
-        runs, items = (x, y) if runs is None else (runs.unionByName(x), items.unionByName(y))
-    united = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("r"))  # as long as the document at most
+    found = stored(block(ahead.pop(0), spans=True), "block-hits")
+    while ahead:
+        found = found.unionByName(stored(block(ahead.pop(), spans=True), "block-hits"))
+        ahead = [got for got in [next(blocks, [])] if got]
+    runs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("first", "last")))).alias("r")  # as long as the document at most, for each block
+    united = found.groupBy("segment", "number").agg(runs, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"))
     n_hit = F.aggregate("r", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct(F.greatest(s["end"], x["last"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["last"] - F.greatest(s["end"], x["first"]))).alias("n")), lambda s: s["n"])
-    united = united.select("doc_id", n_hit.alias("hit"))
-    named = items.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"))
-    return lengths.select("doc_id", "n_words").join(united, "doc_id", "left").join(named, "doc_id", "left").select("doc_id", "n_words", F.coalesce("hit", F.lit(0)).alias("n_hit"), F.coalesce("found", F.array().cast("array<string>")).alias("items"))
+    lengths = block([], spans=False).select("segment", "number", "doc_id", "n_words")
+    joined = lengths.join(united.select("segment", "number", n_hit.alias("hit"), "found"), ["segment", "number"], "left")
+    return joined.select("doc_id", "n_words", F.coalesce("hit", F.lit(0)).alias("n_hit"), F.coalesce("found", F.array().cast("array<string>")).alias("items"))
 
 
 def proximity(index: DataFrame, words: str, span: int) -> DataFrame:
@@ -217,7 +224,7 @@ def proximity(index: DataFrame, words: str, span: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                s = Segment(*[c[row].as_buffer() for c in batch.columns])
+                s = Segment(*[c[row].as_buffer() for c in batch.columns[:5]])
                 p = s.near(h, span) if len(h) else np.zeros(0, np.int64)
                 d = s.doc_of(p)
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[d]), int64(p - s.begins[d])], names=["doc_id", "first"])

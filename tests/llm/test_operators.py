@@ -108,6 +108,19 @@ def test_decontamination(spark, docs):
     assert near == {(i, k) for i, t in corpus() for w in [tok(t)] for k in range(len(w)) if w[k] in ("w1", "w2") and {"w1", "w2"} <= set(w[k : k + 4])}
 
 
+def test_decontamination_of_repeated_rows_in_blocks(spark, monkeypatch):
+    """Rows that repeat a doc_id are each judged, whatever the number of blocks."""
+    w = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(w)), (1, " ".join(w[:15])), (1, " ".join(w)), (2, "x y"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, " ".join(w[:12])), (2, " ".join(w[5:16])), (3, " ".join(w[25:36])), (4, " ".join(w[8:20]))], "item_id long, text string")
+    index = decontaminate.build_index(docs)
+    want = [(1, 15, 15, ["1", "2"]), (1, 40, 31, ["1", "2", "3", "4"]), (1, 40, 31, ["1", "2", "3", "4"]), (2, 0, 0, []), (2, 2, 0, [])]
+    for block in (100_000, 40, 5):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.search(index, bench).collect()) == want
+
+
 def test_pieces_are_lossless_and_repeatable(spark, docs):
     vocab = pieces.Vocabulary.load()
     odd = spark.createDataFrame([(900, " a  b "), (901, "▁x\x00\n\t"), (902, "🤖" * 5)], "doc_id long, text string")
