@@ -15,7 +15,7 @@ left. What the star rounds leave is compared across components only, block by bl
 link that joins two components is lost.
 
 Defined cases: null texts and texts without words have no shingles, are linked with nothing and stay; texts
-of fewer than three words have one shingle; rows that repeat a doc_id count as one document and each returns
+of fewer words than a shingle have one; rows that repeat a doc_id count as one document and each returns
 its row (``dedup`` keeps one of them); a null doc_id is linked with nothing and stays; other columns pass.
 """
 
@@ -33,6 +33,8 @@ from .common import SPACED, U64, Words, bloom_bitmap, bloom_column, bloom_test,
 COORDS, MATCHES = 40, 22
 SHINGLE = 3
 PERCENT = 85
+#: The pipeline's stage: five words and 80 %, with matches for that similarity (missed with probability 1.1e-6).
+STAGE = {"size": 5, "percent": 80, "matches": 19}
 ROUNDS = 2
 MEMBERS, SHINGLES = 512, 100_000
 _SEED = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
@@ -63,13 +65,13 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tupl
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=docs))])
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, coords: int) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str, text: str, coords: int, size: int) -> DataFrame:
     """doc_id, n (set size), s1, s2 (128 bits that name the set), sig (null for an empty set)."""
 
     def run(batches):
         for part in slices(batches):
             data, off = text_bytes(part.column(1))
-            h, begin = shingle_sets(data, off)
+            h, begin = shingle_sets(data, off, size)
             n = np.diff(begin)
             some = np.flatnonzero(n)
             lead = begin[:-1][some]
@@ -86,7 +88,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, coords: int) -> DataFram
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sig array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """Shingle sets of the documents in ``ids`` (doc_id), by a second pass over the texts. A bitmap of fixed
     size drops most other rows before they are hashed; the join that follows is exact."""
     bitmap = bloom_bitmap(ids, "doc_id")
@@ -96,7 +98,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFr
             hit = bloom_test(bitmap, batch.column(2).to_numpy(zero_copy_only=False))
             for part in slices([batch.filter(pa.array(hit))]):
                 data, off = text_bytes(part.column(1))
-                h, begin = shingle_sets(data, off)
+                h, begin = shingle_sets(data, off, size)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), int64(h))], names=["doc_id", "members"])
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
@@ -190,9 +192,9 @@ def across(members: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, p
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coords: int = COORDS, matches: int = MATCHES, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coords: int = COORDS, matches: int = MATCHES, percent: int = PERCENT, rounds: int = ROUNDS, size: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    rows = stored(signatures(docs, doc_id, text, coords), "near-signatures")
+    rows = stored(signatures(docs, doc_id, text, coords, size), "near-signatures")
     usable = rows.where(F.col("n").cast("boolean") & F.col("doc_id").isNotNull())
     classes = stored(usable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-classes")
     # One row for each class: that of its smallest id. Many rows may repeat one id, hence the aggregate.
@@ -210,7 +212,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     live = lists.groupBy("pair").agg(F.count("*").alias("c")).where("c > 1").select("pair")
     lists = stored(lists.join(live, "pair", "left_semi"), "near-lists")
     ids = lists.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(full_sets(docs, ids, doc_id, text), "near-sets")
+    sets = stored(full_sets(docs, ids, doc_id, text, size), "near-sets")
     sigs = stored(sigs.join(ids, "doc_id", "left_semi"), "near-candidates")
     labels, edges, tested = None, None, None
     for r in range(rounds + 1):
@@ -252,7 +254,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup(docs).select(*docs.columns)
+    return dedup(docs, **STAGE).select(*docs.columns)
 
 
 ORACLE = r"""

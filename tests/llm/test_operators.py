@@ -71,6 +71,16 @@ def test_near_dedup_across_blocks(spark, docs, monkeypatch):
     assert sorted(map(tuple, near_dedup.near_duplicates(docs.where("doc_id is not null"), rounds=0).collect())) == want
 
 
+def test_near_dedup_stage_takes_five_words_and_80_percent(spark):
+    """A copy with a sixth more text goes (5-word similarity 0.82); one with a word in 40 changed stays (0.78 by five words, 0.86 by three)."""
+    w = [[f"{k}w{i}" for i in range(400)] for k in range(3)]
+    changed = [x if i % 40 != 20 else "changed" + x for i, x in enumerate(w[1])]
+    rows = [(1, " ".join(w[0][:340])), (2, " ".join(w[0] + [f"more{i}" for i in range(10)])), (3, " ".join(w[1])), (4, " ".join(changed)), (5, " ".join(w[2])), (6, "a b"), (7, "A  b"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_dedup.near_dedup_stage(spark, docs, SF).collect()) == [1, 3, 4, 5, 6, 8]
+    assert near_dedup.miss_probability(0.8, near_dedup.COORDS, near_dedup.STAGE["matches"]) < 1e-5
+
+
 def test_substring_dedup(docs):
     seen, cover = set(), {}
     for i, t in corpus():
