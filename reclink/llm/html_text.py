@@ -1,11 +1,14 @@
 """Operator 10: main text of web pages, with site templates removed.
 
-Pass one hashes the outer markup of the block elements outside a page's article (white space and digits
-normalised) and counts, for each host, the pages on which a subtree recurs. Pass two deletes subtrees that
+Pass one hashes the outer markup of a page's block elements (white space normalised, and digits outside
+articles) and counts, for each host, the pages on which a subtree recurs. Pass two deletes subtrees that
 recur on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages, deletes elements whose tag, role,
 class or id marks them as menu, header, footer, sidebar, notice, advert, form or comments, and keeps the
-blocks of the articles (of ``main`` or the body where a page has none). Subtrees inside an article are never
-taken for a template, so passages that articles share stay.
+blocks of the articles (of ``main`` or the body where a page has none).
+
+Inside ``article`` and ``main`` the rule is stricter: a subtree has to recur with its digits on ``INNER_SHARE``
+of the host's pages, headings and single list items and cells stay, and so does what is left of a page
+whose every passage recurs. Passages that fewer articles share stay.
 
 Templates are counted with one row per page slice, host and subtree, so a host with a third of all pages is
 combined before the shuffle. While they number at most ``TEMPLATES`` (16 bytes each) they travel to the tasks
@@ -29,13 +32,15 @@ from pyspark.sql import functions as F
 from .common import slices, table
 from .urls import host_of
 
-MIN_PAGES, MIN_SHARE, TEMPLATES = 8, 0.05, 200_000
+MIN_PAGES, MIN_SHARE, INNER_SHARE, TEMPLATES = 8, 0.05, 0.5, 200_000
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<(?=/?[a-zA-Z])[^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
 DROPPED = frozenset("nav header footer aside form button select option menu dialog svg canvas object head math".split()) | RAW
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul br".split())
+#: Elements that can be a template inside an article.
+INNER = BLOCK - frozenset("article main body html br li dt dd h1 h2 h3 h4 h5 h6 hgroup tr td th thead tbody tfoot".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer foot comment comments disqus replies respond share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -122,21 +127,28 @@ def scan(page: str):
         yield "close", stack.pop(), end
 
 
-def digest(markup: str) -> int:
-    return int.from_bytes(hashlib.blake2b(DIGITS.sub("0", SPACE.sub(" ", markup)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def digest(markup: str, inner: bool = False) -> int:
+    """Hash of a subtree: odd inside articles, even outside."""
+    markup = SPACE.sub(" ", markup)
+    h = int.from_bytes(hashlib.blake2b((markup if inner else DIGITS.sub("0", markup)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    return h | 1 if inner else h & ~1
+
+
+def countable(e: Element) -> bool:
+    return not e.dropped and e.tag in INNER if e.inside else e.tag in BLOCK and e.tag not in ("html", "body")
 
 
 def subtrees(page: str) -> set[int]:
-    """Hashes of the block elements that stand outside articles and hold none."""
+    """Hashes of the block elements that hold no article (of those in ``main`` also)."""
     out, holds = set(), set()
     for event in scan(page):
         if event[0] == "open":
             if event[1].inside:
-                holds.update(map(id, event[2]))
+                holds.update(id(x) for x in event[2] if x.inside < event[1].inside)
         elif event[0] == "close":
             e = event[1]
-            if e.tag in BLOCK and not e.inside and e.tag not in ("html", "body") and id(e) not in holds:
-                out.add(digest(page[e.start : event[2]]))
+            if countable(e) and id(e) not in holds:
+                out.add(digest(page[e.start : event[2]], e.inside > 0))
     return out
 
 
@@ -147,6 +159,7 @@ def main_text(page: str | None, templates=frozenset()) -> str:
     current: list[str] = []
     level = 0
     opened: dict[int, tuple[int, int, int]] = {}
+    gone: dict[int, set[int]] = {1: set(), 2: set()}
 
     def flush():
         nonlocal current
@@ -170,13 +183,19 @@ def main_text(page: str | None, templates=frozenset()) -> str:
         elif event[1].tag in BLOCK:
             flush()
             e = event[1]
-            if templates and not e.inside and not e.dropped and e.tag not in ("html", "body"):
+            if templates and not e.dropped and countable(e):
                 if kind == "open":
                     opened[id(e)] = (len(blocks[0]), len(blocks[1]), len(blocks[2]))
-                elif (was := opened.pop(id(e), None)) and was[1:] == (len(blocks[1]), len(blocks[2])) and was[0] < len(blocks[0]) and digest(page[e.start : event[2]]) in templates:
-                    del blocks[0][was[0] :]
+                elif (was := opened.pop(id(e), None)) and was[e.inside + 1 :] == (len(blocks[1]), len(blocks[2]))[e.inside :] and was[e.inside] < len(blocks[e.inside]) and digest(page[e.start : event[2]], e.inside > 0) in templates:
+                    if e.inside:
+                        gone[e.inside].update(range(was[e.inside], len(blocks[e.inside])))
+                    else:
+                        del blocks[0][was[0] :]
     flush()
-    return " ".join(blocks[2] or blocks[1] or blocks[0])
+    for k in (2, 1):
+        if blocks[k]:
+            return " ".join([x for i, x in enumerate(blocks[k]) if i not in gone[k]] or blocks[k])
+    return " ".join(blocks[0])
 
 
 def hosts(pages: DataFrame, url: str, markup: str) -> DataFrame:
@@ -198,7 +217,8 @@ def template_counts(given: DataFrame) -> DataFrame:
     counts = given.select("host", "text").mapInArrow(run, "host string, subtree long, n long").groupBy("host", "subtree").agg(F.sum("n").alias("n"))
     often = counts.where((F.col("n") >= MIN_PAGES) & F.col("subtree").isNotNull())
     whole = counts.where(F.col("subtree").isNull()).select("host", F.col("n").alias("all"))
-    return often.join(whole, "host").where(F.col("n") >= MIN_SHARE * F.col("all")).select("host", "subtree")
+    share = F.when(F.col("subtree").bitwiseAND(1) == 1, INNER_SHARE).otherwise(MIN_SHARE)
+    return often.join(whole, "host").where(F.col("n") >= share * F.col("all")).select("host", "subtree")
 
 
 def extract(pages: DataFrame, url: str = "url", markup: str = "html", limit: int = TEMPLATES) -> DataFrame:

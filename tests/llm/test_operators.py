@@ -256,6 +256,18 @@ def test_html(spark):
         assert got[3] == "Body <3d" and got[99] == "" and len(got) == 21
 
 
+def test_html_templates_inside_articles(spark):
+    """What recurs on most pages of a host goes from articles and main also; what fewer share and whole copies stay."""
+    shared = lambda i: "<p>Told by three.</p>" if i < 3 else ""
+    rows = [(i, "http://h/x", f"<body><article><h1>News</h1><div class='q'>Read <b>our</b> best stories</div>{shared(i)}<p>Body {i}</p></article></body>") for i in range(20)]
+    rows += [(100 + i, "http://m/x", f"<body><main><section>House rules</section><p>Own {i}</p></main><p>Out</p></body>") for i in range(20)]
+    rows += [(200 + i, "http://c/x", "<body><article><p>One page, copied.</p></article></body>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (html_text.TEMPLATES, 0):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(pages, limit=limit).collect()}
+        assert (got[1], got[7], got[105], got[203]) == ("News Told by three. Body 1", "News Body 7", "Own 5", "One page, copied.")
+
+
 def test_empty_and_clashing_columns(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert near_dedup.near_duplicates(none).count() == 0 and decontaminate.search(decontaminate.build_index(none), none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
