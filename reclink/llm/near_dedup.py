@@ -7,7 +7,7 @@ only these prefixes are merged; the order is by rising frequency, which leaves t
 out of the prefixes. The remaining coordinates are skipped in the merge and counted on the signatures of the
 candidates, and those that agree often enough are confirmed on the full sets.
 
-A set of Jaccard similarity 0.85 misses the threshold with probability below 1e-7 (``miss_probability``).
+A set of Jaccard similarity 0.85 misses the threshold with probability 1.2e-6 (``miss_probability``).
 
 Groups are never expanded into pairs. Equal sets form one class. In a posting list, members are compared
 with one centre a round (the most typical member first, then others) and lists whose members are all connected are
@@ -226,8 +226,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "near-pairs")
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # centres whose pairs were tested before leave other links open
+            if open_.isEmpty():
+                break
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = pairs if r == rounds else stored(confirmed(pairs, sigs, sets, matches, percent), "near-links")
         if not links.isEmpty():

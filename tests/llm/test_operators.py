@@ -71,6 +71,22 @@ def test_near_dedup_across_blocks(spark, docs, monkeypatch):
     assert sorted(map(tuple, near_dedup.near_duplicates(docs.where("doc_id is not null"), rounds=0).collect())) == want
 
 
+def test_near_dedup_goes_on_when_a_centre_is_drawn_twice(spark):
+    """One posting list of three sets: the two that link are not its centre, which both star rounds draw."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join(base + ["more"]), *(" ".join(base[5 * k : 5 * k + 60] + [f"{k}v{i}" for i in range(10)]) for k in range(9))]
+    sig = {r["doc_id"]: r["sig"] for r in near_dedup.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 1, 3).collect()}
+    assert sig[0] == sig[1]
+    a = next(k for k in range(2, 11) if sig[k] == sig[0])
+    ids = spark.range(1, 60).withColumn("h", F.xxhash64(F.xxhash64(F.lit(0), F.lit(sig[0][0]).cast("long")), "id", F.lit(1)))
+    h = {r["id"]: r["h"] for r in ids.collect()}
+    centre = min(range(1, 30), key=h.get)
+    b, c = [i for i in range(30, 60) if h[i] > h[centre]][:2]
+    docs = spark.createDataFrame([(centre, texts[a]), (b, texts[0]), (c, texts[1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, coords=1, matches=1).collect()}
+    assert got == {centre: centre, b: b, c: b}
+
+
 def test_near_dedup_stage_takes_five_words_and_80_percent(spark):
     """A copy with a sixth more text goes (5-word similarity 0.82); one with a word in 40 changed stays (0.78 by five words, 0.86 by three)."""
     w = [[f"{k}w{i}" for i in range(400)] for k in range(3)]
