@@ -13,20 +13,41 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 3 << 20
 U64 = np.uint64
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir`` (a local one only where that is unset, as in tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``. Only a session on this machine alone may do without that
+    setting (as in tests); elsewhere executors would each write to a disk of their own, so that is an error.
+    Folders stay until ``clear_scratch``: the frames that were returned still read them."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="reclink-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+_WRITTEN: list[str] = []
+
+
+def clear_scratch(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the scratch folders of this process but for the last ``keep``; call it when results are read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _WRITTEN[: len(_WRITTEN) - keep]
+    for path in gone:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    del _WRITTEN[: len(gone)]
+    return len(gone)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +59,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HEAVY = 2000
+
+
+def hot_keys(counts: DataFrame, total: int, count: str = "c") -> DataFrame:
+    """The keys that hold over one part in ``HEAVY`` of ``total`` rows, with the number of salts they are dealt
+    out to (column salts). They number 2 * HEAVY at most, whatever the input, so they can be broadcast."""
+    return counts.where(F.col(count) > _bound(total)).select(*[c for c in counts.columns if c != count], _salts(count, total).alias("salts"))
+
+
+def _bound(total: int) -> int:
+    return max(1, total // HEAVY)
+
+
+def _salts(count: str, total: int):
+    return F.when(F.col(count) > _bound(total), F.ceil(F.col(count) / _bound(total))).otherwise(1).cast("int")
+
+
+def dealt(rows: DataFrame, hot: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """The side with many rows a key: each row of a hot key draws one of the key's salts by a hash of ``by``."""
+    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+
+
+def copied(keyed: DataFrame, total: int, count: str = "c") -> DataFrame:
+    """The side with one row a key: the row of a hot key is repeated for each salt (2 * HEAVY more rows at most)."""
+    return keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(count, total) - 1))).drop(count)
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, key: list[str], total: int, by: list[str], how: str = "inner", count: str = "c") -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row a key, of which ``count`` says how many rows have it), so that no
+    task gets a whole hot key. ``total``: at least the number of rows. Rows that know ``count`` too need no list
+    of the hot keys."""
+    if count in rows.columns:
+        own = rows.withColumn("salt", F.pmod(F.xxhash64(*by), _salts(count, total)).cast("int"))
+    else:
+        own = dealt(rows, hot_keys(keyed.select(*key, count), total, count), key, by)
+    return own.join(copied(keyed, total, count).hint("merge"), [*key, "salt"], how).drop("salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -155,8 +214,6 @@ def bloom_bitmap(ids: DataFrame, col: str, log2_bits: int = 25) -> np.ndarray:
     """A fixed-size bitmap (2**log2_bits bits, 4 MB by default) of the longs in a column: built with
     map-side combining, so at most 2**log2_bits / 64 words ever reach the driver, whatever the input.
     Used only to drop rows early; an exact join follows. A full bitmap costs time, not rows."""
-    from pyspark.sql import functions as F
-
     bit = F.pmod(F.xxhash64(F.col(col)), F.lit(1 << log2_bits))
     words = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
     out = np.zeros((1 << log2_bits) // 64, np.int64)
@@ -167,8 +224,6 @@ def bloom_bitmap(ids: DataFrame, col: str, log2_bits: int = 25) -> np.ndarray:
 
 def bloom_column(col: str, log2_bits: int = 25):
     """The bit that a row of the filtered side tests (a column, computed by Spark)."""
-    from pyspark.sql import functions as F
-
     return F.pmod(F.xxhash64(F.col(col)), F.lit(1 << log2_bits))
 
 
