@@ -6,8 +6,10 @@ toxic than in clean documents of the sample. The chain is trained on sentences s
 forward-backward marginals give the offending offsets, and their maximum, sum and density the document
 score through a logistic layer.
 
-Bounds: the model is fitted on at most ``PER_CLASS`` labelled documents of each class, those of the
-smallest hash of doc_id whose texts have at most ``FIT_CHARS`` characters. Scoring reads every whole text.
+Bounds: the model is fitted in one task, on at most ``PER_CLASS`` labelled documents of each class, those of
+the smallest hash of doc_id, the longest of them left out where a class would have over ``FIT_BYTES`` of text.
+Of their sentences without a toxic token the chain takes ``CLEAN``, or three times the toxic ones if that is
+more, in a seeded order. Scoring reads every whole text.
 
 Defined cases: a null or empty text, and one without words, gets the score of no evidence and no spans;
 rows that repeat a doc_id are each scored; null labels are not used; without both classes among the
@@ -18,13 +20,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LETTERS, U64, Words, mapped, stored, table, text_bytes
 
 PER_CLASS = 1500
-FIT_CHARS = 8_000
+FIT_BYTES = 6 << 20
+CLEAN = 20_000
 BITS = 18
 PREFIXES = (3, 4, 5, 6, 8)
 BREAK = np.zeros(256, bool)
@@ -139,15 +142,16 @@ def token_labels(c: Chains, toxic: np.ndarray) -> np.ndarray:
     return y | ((toxic[c.doc] == 1) & ~found[c.doc] & (best >= top[c.doc]))
 
 
-def fit_chain(c: Chains, y: np.ndarray, epochs: int = 8, batch: int = 3000, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Conditional likelihood by Adam over batches of sentences; the gradient is observed less expected counts."""
+def fit_chain(c: Chains, y: np.ndarray, clean: int, epochs: int = 8, batch: int = 3000, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Conditional likelihood by Adam over batches of sentences; the gradient is observed less expected counts.
+    All sentences with a toxic token are used, and ``clean`` others or three times as many, if that is more."""
     sentence = np.cumsum(c.head) - 1
     count = sentence[-1] + 1 if len(sentence) else 0
     hot = np.zeros(count, bool)
     hot[sentence[y]] = True
     rng = np.random.default_rng(3)
     cold = np.flatnonzero(~hot)
-    use = np.concatenate([np.flatnonzero(hot), rng.permutation(cold)[: max(20_000, 3 * hot.sum())]])
+    use = np.concatenate([np.flatnonzero(hot), rng.permutation(cold)[: max(clean, 3 * hot.sum())]])
     del sentence
     start = np.flatnonzero(c.head)
     length = np.diff(np.append(start, len(c.head)))
@@ -185,7 +189,7 @@ def fit_chain(c: Chains, y: np.ndarray, epochs: int = 8, batch: int = 3000, l2:
     return w, np.exp(t.reshape(2, 2))
 
 
-def fit_link(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0) -> np.ndarray:
+def fit_link(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0.05) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
@@ -194,36 +198,59 @@ def fit_link(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0)
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> Model:
-    """Fit on a bounded sample of labelled rows; ``learn``: which doc_ids may be learnt from."""
-    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(learn & F.col("toxic").isin(0, 1))
-    counts = {r["toxic"]: r["count"] for r in given.groupBy("toxic").count().collect()}
-    if len(counts) < 2:
-        return Model(np.zeros(WIDTH), np.ones((2, 2)), None)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.char_length("text") <= FIT_CHARS)
-    # The ids of a sample number 4 * per_class at most (some may have no text that is short enough), so they can be broadcast.
-    ids = [given.where(F.col("toxic") == k).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for k in (0, 1)]
-    found = stored(texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id"), "toxic-sample")
-    rows = pa.concat_tables([found.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class).toArrow() for k in (0, 1)])
+def fitted(rows: pa.Table, counts: dict[int, int], clean: int) -> Model:
+    """The model of sample rows (text, toxic), those of class 0 first; ``counts``: the labels of each class."""
     toxic = rows["toxic"].to_numpy().astype(np.int64)
     if len(set(toxic)) < 2:
         return Model(np.zeros(WIDTH), np.ones((2, 2)), None)
     # A quarter is kept from the chain, so that the link sees marginals as they are on unseen texts.
     aside = np.arange(len(toxic)) % 4 == 3
     text = rows["text"].combine_chunks()
-    parts = {}
-    for name, mask in (("fit", ~aside), ("link", aside)):
-        data, off = text_bytes(text.filter(pa.array(mask)))
-        parts[name] = Chains(data, off), toxic[mask]
-    c, y = parts["fit"]
-    model = Model(*fit_chain(c, token_labels(c, y)), None)
-    c, y = parts["link"]
-    x = model.evidence(c, model.marginals(c), len(y))
+    data, off = text_bytes(text.filter(pa.array(~aside)))
+    c, y = Chains(data, off), toxic[~aside]
+    model = Model(*fit_chain(c, token_labels(c, y), clean), None)
+    del c, data, off
+    y = toxic[aside]
+    parts = []
+    for batch in pa.Table.from_arrays([text.filter(pa.array(aside))], names=["text"]).to_batches(max_chunksize=200):
+        part = Chains(*text_bytes(batch.column(0)))
+        parts.append(model.evidence(part, model.marginals(part), batch.num_rows))
     prior = np.array([counts[0], counts[1]]) / (counts[0] + counts[1]) / (np.bincount(y, minlength=2) / len(y))
-    model.link = fit_link(x, y, prior[y])
+    model.link = fit_link(np.concatenate(parts), y, prior[y])
     return model
 
 
+def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, fit_bytes: int = FIT_BYTES, clean: int = CLEAN) -> Model:
+    """Fit on a bounded sample of labelled rows; ``learn``: which doc_ids may be learnt from. The sample goes to
+    one task, which returns the weights (2 MB): the driver never holds a text."""
+    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(learn & F.col("toxic").isin(0, 1))
+    counts = {r["toxic"]: r["count"] for r in given.groupBy("toxic").count().collect()}
+    if len(counts) < 2:
+        return Model(np.zeros(WIDTH), np.ones((2, 2)), None)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    # The ids of a sample number 4 * per_class at most (some may have no text), so they can be broadcast.
+    ids = [given.where(F.col("toxic") == k).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for k in (0, 1)]
+    found = stored(texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id"), "toxic-sample")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    # Sizes decide first, so that no more than fit_bytes of text are sorted or sent.
+    first = found.select("toxic", "doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"), F.row_number().over(Window.partitionBy("toxic").orderBy(*order)).alias("place")).where(F.col("place") <= per_class)
+    total = F.sum("size").over(Window.partitionBy("toxic").orderBy("size", "place").rowsBetween(Window.unboundedPreceding, 0))
+    picked = first.withColumn("total", total).where(F.col("total") <= fit_bytes).groupBy("toxic", "doc_id", "h").agg(F.min("place").alias("place"))  # 2 * per_class rows at most
+    one = found.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["toxic", "doc_id", "h"]).dropDuplicates(["toxic", "doc_id", "h"])
+    sample = one.select("toxic", "place", "text").repartition(1).sortWithinPartitions("toxic", "place")
+
+    def run(batches):
+        got = list(batches)
+        rows = pa.Table.from_batches(got) if got else pa.table({"toxic": pa.array([], pa.int32()), "place": pa.array([], pa.int32()), "text": pa.array([], pa.string())})
+        m = fitted(rows, counts, clean)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (m.weights.tobytes(), m.transitions.tobytes(), None if m.link is None else m.link.tobytes())], names=["weights", "transitions", "link"])
+
+    got = stored(sample.mapInArrow(run, "weights binary, transitions binary, link binary"), "toxic-model").first()
+    if got is None:
+        return Model(np.zeros(WIDTH), np.ones((2, 2)), None)
+    return Model(np.frombuffer(got["weights"], np.float32), np.frombuffer(got["transitions"]).reshape(2, 2), None if got["link"] is None else np.frombuffer(got["link"]))
+
+
 def spans_of(c: Chains, p: np.ndarray, docs: int, data: np.ndarray, off: np.ndarray, cut: float) -> pa.Array:
     """Runs of tokens whose marginal is at least ``cut``, as code point offsets with the mean marginal."""
     hit = p >= cut
