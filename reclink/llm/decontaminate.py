@@ -6,16 +6,17 @@ where its documents begin. ``search`` reads segments and, for each test phrase,
 rarest terms of the segment, shifts them by the terms' offsets in the phrase and intersects them, the rarest
 first, which leaves the exact occurrences. Segments hold whole documents, so nothing is shuffled.
 
-Test phrases reach the executors in blocks of about ``BLOCK`` phrases (80 bytes each; an item is not cut). The
-items of a larger benchmark are cut into blocks that are searched and stored one after the other, so the driver
-holds two blocks of items and the phrases of one at most, whatever the benchmark. What the blocks find is united
-by segment and place in it, not by doc_id.
+Test phrases are cut into a stored table of blocks of at most ``BLOCK`` phrases (88 bytes each). One block after
+the other is read and searched, and what it finds is stored, so the driver holds one block at a time whatever the
+benchmark. What the blocks find is united by segment and place in it, not by doc_id, in one way for any number
+of blocks.
 
 ``proximity`` returns places where all distinct words of a phrase stand within a given span, in any order.
 
-Defined cases: null and empty texts have no words and are not contaminated; items without words match
-nothing; an item that repeats an item_id counts once under that id; rows that repeat a doc_id are each
-judged; rows without a doc_id are not indexed (the stage keeps them); other columns do not matter.
+Defined cases: null and empty texts have no words and are not contaminated; items without words or without an
+item_id match nothing; an item that repeats an item_id counts once under that id; rows that repeat a doc_id, and
+rows without one, are each judged; other columns do not matter. The stage judges texts: rows of equal texts
+(by their 64-bit hash) have one verdict, whatever their doc_id.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from .common import ALNUM, U64, Words, int64, slices, stored, table, text_bytes
 
 WINDOW = 10
 BLOCK = 100_000
-SEGMENT = "doc_ids binary, begins binary, terms binary, lists binary, positions binary"
+PIECE = 2_000_000
+SEGMENT = "terms binary, lists binary, positions binary, begins binary, doc_ids binary, known binary"
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,20 +45,21 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             order = np.argsort(w.hash, kind="stable")
             h = w.hash[order]
             lead = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            cols = [part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), w.first.astype(np.uint32), h[lead], np.append(lead, len(h)).astype(np.uint32), order.astype(np.uint32)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cols], names=["doc_ids", "begins", "terms", "lists", "positions"])
+            ids = part.column(0)
+            known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False))
+            cols = [h[lead], np.append(lead, len(h)).astype(np.uint32), order.astype(np.uint32), w.first.astype(np.uint32), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), known]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cols], names=["terms", "lists", "positions", "begins", "doc_ids", "known"])
 
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return stored(given.mapInArrow(run, SEGMENT).withColumn("segment", F.monotonically_increasing_id()), "postings")
 
 
 class Segment:
-    def __init__(self, doc_ids: bytes, begins: bytes, terms: bytes, lists: bytes, positions: bytes):
-        self.doc_ids = np.frombuffer(doc_ids, np.int64)
-        self.begins = np.frombuffer(begins, np.uint32).astype(np.int64)
+    def __init__(self, terms: bytes, lists: bytes, positions: bytes, begins: bytes):
         self.terms = np.frombuffer(terms, U64)
         self.lists = np.frombuffer(lists, np.uint32).astype(np.int64)
         self.positions = np.frombuffer(positions, np.uint32).astype(np.int64)
+        self.begins = np.frombuffer(begins, np.uint32).astype(np.int64)
 
     def doc_of(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begins, position, side="right") - 1
@@ -76,7 +79,16 @@ class Segment:
         at, inside = at[rows], inside[rows]
         count = np.where(inside, self.lists[at + 1] - self.lists[at], np.iinfo(np.int64).max)
         rank = np.argsort(count, axis=1, kind="stable")  # the rarest term first
-        pick = np.arange(len(rows))
+        # Phrases go in pieces whose rarest lists hold PIECE positions in all (or one phrase's).
+        piece = np.cumsum(count[np.arange(len(rows)), rank[:, 0]]) // PIECE
+        cuts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+        found = [self._intersect(at[a:b], inside[a:b], count[a:b], rank[a:b], size[rows[a:b]]) for a, b in zip(cuts, np.append(cuts[1:], len(rows)), strict=True)]
+        return np.concatenate([rows[a:][p] for a, (p, _) in zip(cuts, found, strict=True)]), np.concatenate([x for _, x in found])
+
+    def _intersect(self, at, inside, count, rank, size):
+        """Occurrences (phrase, position) of phrases whose terms have the lists ``at``, by rising ``rank``."""
+        width = at.shape[1]
+        pick = np.arange(len(at))
         n = count[pick, rank[:, 0]]
         phrase = np.repeat(pick, n)
         base = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -95,9 +107,9 @@ class Segment:
             phrase, place = phrase[good], place[good]
         good = place >= 0
         phrase, place = phrase[good], place[good]
-        last = place + size[rows][phrase] - 1
+        last = place + size[phrase] - 1
         same = (last < total) & (self.doc_of(place) == self.doc_of(np.minimum(last, max(total - 1, 0))))
-        return rows[phrase[same]], place[same]
+        return phrase[same], place[same]
 
     def keys(self, lists: np.ndarray, total: int) -> np.ndarray:
         """The postings of the given lists as sorted (list, position) keys."""
@@ -124,21 +136,41 @@ class Segment:
         return starts[self.doc_of(starts) == self.doc_of(last)]
 
 
-def phrases(texts: list, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def phrases(texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of the items: words (phrases x window), sizes, and the number of the item of each."""
-    w = Words(*text_bytes(pa.array(texts, pa.string())), ALNUM, lower=True)
-    rows, size, item = [], [], []
-    for k in range(len(texts)):
-        h = w.hash[w.first[k] : w.first[k + 1]]
-        for a in range(max(1, len(h) - window + 1) if len(h) else 0):
-            x = h[a : a + window]
-            rows.append(np.concatenate([x, np.zeros(window - len(x), U64)]))
-            size.append(len(x))
-            item.append(k)
-    return np.array(rows, U64).reshape(-1, window), np.array(size, np.int64), np.array(item, np.int64)
-
-
-def _search_block(index: DataFrame, words: np.ndarray, size: np.ndarray, names: np.ndarray, spans: bool) -> DataFrame:
+    w = Words(*text_bytes(texts), ALNUM, lower=True)
+    n = np.diff(w.first)
+    per = np.where(n >= window, n - window + 1, np.minimum(n, 1))
+    item = np.repeat(np.arange(len(n)), per)
+    size = np.minimum(n, window)[item]
+    begin = np.concatenate([[0], np.cumsum(per)])
+    at = w.first[:-1][item] + np.arange(begin[-1]) - begin[item]
+    place = at[:, None] + np.arange(window)
+    words = np.where(np.arange(window) < size[:, None], w.hash[np.minimum(place, max(len(w.hash) - 1, 0))], U64(0)) if len(at) else np.zeros((0, window), U64)
+    return words, size, item
+
+
+def window_blocks(benchmark: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
+    """The stored test phrases: one row for at most BLOCK of them, with the item of each by its number in names."""
+    given = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(text).cast("string").alias("text")).where("text is not null and name is not null")
+    chars = given.agg(F.sum(F.char_length("text"))).first()[0] or 0
+
+    def run(batches):
+        for part in slices(batches, limit=6 * BLOCK):
+            words, size, item = phrases(part.column(1), window)
+            for a in range(0, len(words), BLOCK):
+                cols = [words[a : a + BLOCK], size[a : a + BLOCK].astype(np.int32), item[a : a + BLOCK].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*[pa.array([x.tobytes()], pa.binary()) for x in cols], pa.array([part.column(0).to_pylist()], pa.list_(pa.string()))], names=["words", "sizes", "items", "names"])
+
+    blocks = given.repartition(1 + chars // (6 * BLOCK)).mapInArrow(run, "words binary, sizes binary, items binary, names array<string>")
+    return stored(blocks.withColumn("block", F.monotonically_increasing_id()), "windows")
+
+
+def search_block(index: DataFrame, block, window: int) -> DataFrame:
+    """What one block of phrases finds: (segment, number) of the documents hit, their items and covered runs."""
+    size = np.frombuffer(block["sizes"], np.int32).astype(np.int64)
+    words = np.frombuffer(block["words"], U64).reshape(-1, window)
+    names = np.array(block["names"], dtype=object)[np.frombuffer(block["items"], np.int32)]
     distinct, back = np.unique(np.column_stack([words, size.astype(U64)]), axis=0, return_inverse=True)
     order = np.argsort(back.ravel(), kind="stable")
     owner = names[order]
@@ -148,73 +180,66 @@ def _search_block(index: DataFrame, words: np.ndarray, size: np.ndarray, names:
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                s = Segment(*[c[row].as_buffer() for c in batch.columns[:5]])
+                s = Segment(*[c[row].as_buffer() for c in batch.columns[1:]])
                 phrase, place = s.find(w, n)
-                total, docs = int(s.begins[-1]), len(s.doc_ids)
+                if not len(phrase):
+                    continue
+                total, docs = int(s.begins[-1]), len(s.begins) - 1
                 cover = np.zeros(total + 1, np.int64)
                 np.add.at(cover, place, 1)
                 np.add.at(cover, place + n[phrase], -1)
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:total] > 0)])
-                doc = s.doc_of(place)
-                pair = np.unique(np.column_stack([doc, phrase]), axis=0)
                 items: list[set] = [set() for _ in range(docs)]
-                for d, p in pair:
+                for d, p in np.unique(np.column_stack([s.doc_of(place), phrase]), axis=0):
                     items[d].update(owner[lead[p] : lead[p + 1]])
-                name = [pa.array(np.full(docs, batch.column(5)[row].as_py())), int64(np.arange(docs))]
-                found = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
-                if spans:
-                    flag = np.cumsum(cover)[:total] > 0
-                    edge = np.zeros(total + 1, bool)
-                    edge[s.begins] = True  # a run ends with its document
-                    a = np.flatnonzero(flag & (np.append(True, ~flag[:-1])[:total] | edge[:total]))
-                    b = np.flatnonzero(flag & (np.append(~flag[1:], True)[:total] | edge[1:])) + 1
-                    of = s.doc_of(a)
-                    ends = np.searchsorted(of, np.arange(docs + 1)).astype(np.int32)
-                    runs = [pa.ListArray.from_arrays(pa.array(ends), int64(x - s.begins[of])) for x in (a, b)]
-                    part = pa.RecordBatch.from_arrays([*name, found, *runs], names=["segment", "number", "items", "first", "last"])
-                    yield part.filter(pa.array(np.diff(ends) > 0))
-                else:
-                    yield pa.RecordBatch.from_arrays([*name, pa.array(s.doc_ids), int64(np.diff(s.begins)), int64(np.diff(hit[s.begins])), found], names=["segment", "number", "doc_id", "n_words", "n_hit", "items"])
-
-    return index.mapInArrow(run, "segment long, number long, items array<string>, first array<long>, last array<long>" if spans else "segment long, number long, doc_id long, n_words long, n_hit long, items array<string>")
-
-
-def item_blocks(benchmark: DataFrame, item_id: str, text: str):
-    """The items (i, t) in lists of about BLOCK phrases; the last one can be empty."""
-    got, size = [], 0
-    given = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null and i is not null")
-    for row in given.toLocalIterator(prefetchPartitions=False):
-        got.append(row)
-        size += len(row["t"]) // 2
-        if size > BLOCK:
-            yield got
-            got, size = [], 0
-    yield got
+                flag = np.cumsum(cover)[:total] > 0
+                edge = np.zeros(total + 1, bool)
+                edge[s.begins] = True  # a run ends with its document
+                a = np.flatnonzero(flag & (np.append(True, ~flag[:-1])[:total] | edge[:total]))
+                b = np.flatnonzero(flag & (np.append(~flag[1:], True)[:total] | edge[1:])) + 1
+                of = s.doc_of(a)
+                ends = np.searchsorted(of, np.arange(docs + 1)).astype(np.int32)
+                runs = [pa.ListArray.from_arrays(pa.array(ends), int64(x - s.begins[of])) for x in (a, b)]
+                part = pa.RecordBatch.from_arrays([pa.array(np.full(docs, batch.column(0)[row].as_py())), int64(np.arange(docs)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), *runs], names=["segment", "number", "items", "first", "last"])
+                yield part.filter(pa.array(np.diff(ends) > 0))
 
+    return index.select("segment", "terms", "lists", "positions", "begins").mapInArrow(run, "segment long, number long, items array<string>, first array<long>, last array<long>")
 
-def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids, sorted as strings)."""
 
-    def block(got, spans):
-        words, n, item = phrases([r["t"] for r in got], window)
-        names = np.array([r["i"] for r in got], dtype=object)
-        return _search_block(index, words, n, names[item] if len(item) else np.zeros(0, object), spans)
-
-    blocks = item_blocks(benchmark, item_id, text)
-    ahead = [next(blocks), next(blocks, [])]
-    if not ahead[1]:
-        return block(ahead[0], spans=False).drop("segment", "number")
-    # More blocks: their covered runs are united, as two blocks can hit the same word.
-    found = stored(block(ahead.pop(0), spans=True), "block-hits")
-    while ahead:
-        found = found.unionByName(stored(block(ahead.pop(), spans=True), "block-hits"))
-        ahead = [got for got in [next(blocks, [])] if got]
+def documents_of(index: DataFrame) -> DataFrame:
+    """(segment, number, doc_id, n_words) of every document of the index; its postings are not read."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                segment, begins, ids, known = (c[row] for c in batch.columns)
+                n = np.diff(np.frombuffer(begins.as_buffer(), np.uint32).astype(np.int64))
+                name = pa.array(np.frombuffer(ids.as_buffer(), np.int64), mask=~np.frombuffer(known.as_buffer(), bool))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), segment.as_py())), int64(np.arange(len(n))), name, int64(n)], names=["segment", "number", "doc_id", "n_words"])
+
+    return index.select("segment", "begins", "doc_ids", "known").mapInArrow(run, "segment long, number long, doc_id long, n_words long")
+
+
+def hits(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(segment, number, n_hit, items) of the contaminated documents: blocks can hit the same word, so their
+    covered runs are united."""
+    blocks = window_blocks(benchmark, item_id, text, window)
+    found = None
+    for number in blocks.select("block").orderBy("block").toLocalIterator():
+        part = stored(search_block(index, blocks.where(F.col("block") == number["block"]).first(), window), "block-hits")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = index.sparkSession.createDataFrame([], "segment long, number long, items array<string>, first array<long>, last array<long>")
     runs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("first", "last")))).alias("r")  # as long as the document at most, for each block
-    united = found.groupBy("segment", "number").agg(runs, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"))
-    n_hit = F.aggregate("r", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct(F.greatest(s["end"], x["last"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["last"] - F.greatest(s["end"], x["first"]))).alias("n")), lambda s: s["n"])
-    lengths = block([], spans=False).select("segment", "number", "doc_id", "n_words")
-    joined = lengths.join(united.select("segment", "number", n_hit.alias("hit"), "found"), ["segment", "number"], "left")
-    return joined.select("doc_id", "n_words", F.coalesce("hit", F.lit(0)).alias("n_hit"), F.coalesce("found", F.array().cast("array<string>")).alias("items"))
+    united = found.groupBy("segment", "number").agg(runs, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    step = lambda s, x: F.struct(F.greatest(s["end"], x["last"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["last"] - F.greatest(s["end"], x["first"]))).alias("n"))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    return united.select("segment", "number", F.aggregate("r", start, step, lambda s: s["n"]).alias("n_hit"), "items")
+
+
+def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids, sorted as strings)."""
+    joined = documents_of(index).join(hits(index, benchmark, item_id, text, window), ["segment", "number"], "left")
+    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def proximity(index: DataFrame, words: str, span: int) -> DataFrame:
@@ -224,12 +249,13 @@ def proximity(index: DataFrame, words: str, span: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                s = Segment(*[c[row].as_buffer() for c in batch.columns[:5]])
+                s = Segment(*[c[row].as_buffer() for c in batch.columns[1:5]])
                 p = s.near(h, span) if len(h) else np.zeros(0, np.int64)
                 d = s.doc_of(p)
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[d]), int64(p - s.begins[d])], names=["doc_id", "first"])
+                names = pa.array(np.frombuffer(batch.column(5)[row].as_buffer(), np.int64)[d], mask=~np.frombuffer(batch.column(6)[row].as_buffer(), bool)[d])
+                yield pa.RecordBatch.from_arrays([names, int64(p - s.begins[d])], names=["doc_id", "first"])
 
-    return index.mapInArrow(run, "doc_id long, first long")
+    return index.select("segment", "terms", "lists", "positions", "begins", "doc_ids", "known").mapInArrow(run, "doc_id long, first long")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,10 +264,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an occurrence of a benchmark window stay."""
-    found = search(build_index(docs), table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without an occurrence of a benchmark window stay; their texts are indexed under their hashes."""
+    name = F.xxhash64(F.col("text"))
+    index = build_index(docs.select(name.alias("doc_id"), "text"))
+    hit = documents_of(index).join(hits(index, table(spark, sf_dir, "benchmark")), ["segment", "number"], "left_semi").select("doc_id").distinct()
+    hit = hit.select(F.struct("doc_id").alias("hit"))  # a struct, as docs may have any columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(name.alias("doc_id")).alias("name"))
+    return rows.join(hit, F.col("name") == F.col("hit"), "left_anti").select("row.*")
 
 
 def digest(items) -> str:
