@@ -13,12 +13,18 @@ has one.) Windows that share an anchor form one stretch of about ten windows, an
 3. Repeated stretches and windows are united for each document, and the words they cover are removed.
 
 Equal stretches within a slice are combined before the shuffle, so a stretch in a third of all documents
-arrives with one row a slice. Documents that need no second look are never shuffled; a bitmap of fixed size
+arrives with one row a slice. The names that are frequent even so (in a sixteenth of the documents; HEAVY bounds
+their number) are judged by sums that combine before the shuffle, and their rows are dealt out by salts; how a
+name is judged changes no result. Documents that need no second look are never shuffled; a bitmap of fixed size
 keeps most of them back, and the joins are exact.
 
+Names stand in for the dictionaries of Spark rounds: one round that names all pairs of a corpus by a shuffled
+dictionary and joins the names back costs more than this operator's whole budget (README).
+
 Defined cases: null texts and texts without words have no words; documents of fewer than 20 words lose
-nothing, and neither do rows without a doc_id, which others are not compared with; rows that repeat a doc_id
-count as one document and must have one text; other columns do not matter.
+nothing, and neither do rows without a doc_id, which others are not compared with. Each row is a document: rows
+that repeat a doc_id are judged each by its own text (rows are told apart by a 64-bit hash of doc_id and text),
+and are not earlier than one another; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, U64, Words, bloom_bitmap, bloom_column, bloom_test, int64, mix, slices, stored, table, text_bytes
+from .common import SPACED, U64, Words, bloom_bitmap, bloom_column, bloom_test, hot_keys, int64, mix, salted_join, slices, stored, table, text_bytes
 
 WINDOW, LEVELS = 20, 3
 FAR = 1 << 40
@@ -137,18 +143,19 @@ class Digests:
         return [mix((s[b] - s[a]) * r[a] + (b - a).astype(U64) * _C) for s, r in zip(self.sums, self.back, strict=True)]
 
 
-def firsts(u1: np.ndarray, u2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which rows are the first, by (doc, at), of those with equal digests."""
-    order = np.lexsort((at, doc, u2, u1))
+def firsts(u1: np.ndarray, u2: np.ndarray, doc: np.ndarray, name: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which rows repeat none before them: those with equal digests have no smaller doc, nor an earlier place in
+    the same row of the table (``name``)."""
+    order = np.lexsort((at, name, doc, u2, u1))
+    a, b, d, n = u1[order], u2[order], doc[order], name[order]
     head = np.ones(len(order), bool)
-    a, b = u1[order], u2[order]
     head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    # Rows that repeat a doc_id stand at the place of the first and are no repetition of it.
     lead = np.flatnonzero(head)
     of = lead[np.cumsum(head) - 1] if len(lead) else lead
-    same = (doc[order] == doc[order][of]) & (at[order] == at[order][of])
+    own = head.copy()
+    own[1:] |= n[1:] != n[:-1]
     out = np.zeros(len(order), bool)
-    out[order[same]] = True
+    out[order[own & (d == d[of])]] = True
     return out
 
 
@@ -158,7 +165,8 @@ def _stretches(part: pa.RecordBatch) -> pa.RecordBatch:
     doc = np.repeat(np.arange(docs), np.diff(w.first))
     ids = part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     null = np.asarray(part.column(0).is_null().to_numpy(zero_copy_only=False))
-    cols = [np.zeros(0, U64)] * 2 + [np.zeros(0, np.int64)] * 3
+    names = part.column(2).to_numpy().astype(np.int64)
+    cols = [np.zeros(0, U64)] * 2 + [np.zeros(0, np.int64)] * 4
     again = np.zeros(0, bool)
     if len(w.hash):
         valid, level, name, phrase = anchors(w.hash, doc, w.first)
@@ -173,9 +181,9 @@ def _stretches(part: pa.RecordBatch) -> pa.RecordBatch:
             digest = Digests(w.hash).of(a, b)
             # Two digests of the stretch, the anchor's name and place mixed into them, name it in 128 bits.
             key, u = name[a], mix(digest[0] + mix(digest[1] + (phrase[a] - a).astype(U64) * _A + level[a].astype(U64)))
-            at, did = a - w.first[doc[a]], ids[doc[a]]
-            again = ~firsts(key, u, did, at)
-            cols = [key, u, did, at * SPAN + (b - a), np.where(again, 2, 1)]
+            at, did, own = a - w.first[doc[a]], ids[doc[a]], names[doc[a]]
+            again = ~firsts(key, u, did, own, at)
+            cols = [key, u, did, at * SPAN + (b - a), np.where(again, 2, 1), own]
     raw, off = text_bytes(part.column(1))
     raw = raw.tobytes()
     shas = [hashlib.sha256(b" ".join(raw[off[i] : off[i + 1]].split())).hexdigest() for i in range(docs)]
@@ -185,14 +193,14 @@ def _stretches(part: pa.RecordBatch) -> pa.RecordBatch:
     named = lambda x: pa.concat_arrays([none, pa.array(x.view(np.int64), mask=again)])
     return pa.RecordBatch.from_arrays([
         pa.concat_arrays([pa.array(np.zeros(docs, np.int64)), int64(cols[4])]), named(cols[0]), named(cols[1]), pa.concat_arrays([part.column(0), int64(cols[2])]),
-        pa.concat_arrays([int64(np.diff(w.first)), int64(cols[3])]), pa.array(shas + [None] * n, pa.string()),
-    ], names=["kind", "key", "u", "doc_id", "span", "sha"])
+        pa.concat_arrays([part.column(2), int64(cols[5])]), pa.concat_arrays([int64(np.diff(w.first)), int64(cols[3])]), pa.array(shas + [None] * n, pa.string()),
+    ], names=["kind", "key", "u", "doc_id", "name", "span", "sha"])
 
 
 def _windows(part: pa.RecordBatch) -> pa.RecordBatch:
-    """Windows of the given stretches (column 2: list of (at, size)) of each text."""
+    """Windows of the given stretches (column 3: list of (at, size)) of each text."""
     w = Words(*text_bytes(part.column(1)), SPACED, lower=False)
-    spans = part.column(2)
+    spans = part.column(3)
     n = np.diff(spans.offsets.to_numpy())
     flat = spans.flatten()
     at, size = flat.field(0).to_numpy(), flat.field(1).to_numpy()
@@ -202,52 +210,70 @@ def _windows(part: pa.RecordBatch) -> pa.RecordBatch:
     a = np.repeat(w.first[row] + at - base, count) + np.arange(count.sum())
     row = np.repeat(row, count)
     u1, u2 = Digests(w.hash).of(a, a + WINDOW)
-    did = part.column(0).to_numpy()[row]
+    did, name = part.column(0).to_numpy()[row], part.column(2).to_numpy()[row]
     at = a - w.first[row]
-    top = firsts(u1, u2, did, at)
-    return pa.RecordBatch.from_arrays([int64(np.where(top, 1, 2)), int64(u1), int64(u2), int64(did), int64(at)], names=["kind", "u1", "u2", "doc_id", "at"])
+    top = firsts(u1, u2, did, name, at)
+    return pa.RecordBatch.from_arrays([int64(np.where(top, 1, 2)), int64(u1), int64(u2), int64(did), int64(name), int64(at)], names=["kind", "u1", "u2", "doc_id", "name", "at"])
+
+
+def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, and the name of the row."""
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return given.withColumn("name", F.xxhash64("doc_id", "text"))
 
 
 def _needed(docs: DataFrame, given: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Texts joined with ``given`` (doc_id, ranges), the others dropped early by a bitmap of fixed size."""
-    bitmap = bloom_bitmap(given, "doc_id")
+    """Texts joined with ``given`` (name, spans), the others dropped early by a bitmap of fixed size."""
+    bitmap = bloom_bitmap(given, "name")
 
     def run(batches):
         for batch in batches:
-            yield batch.select(["doc_id", "text"]).filter(pa.array(bloom_test(bitmap, batch.column(2).to_numpy(zero_copy_only=False))))
+            yield batch.select(["doc_id", "text", "name"]).filter(pa.array(bloom_test(bitmap, batch.column(3).to_numpy(zero_copy_only=False))))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    few = rows.select("doc_id", "text", bloom_column("doc_id").alias("bit")).mapInArrow(run, "doc_id long, text string")
-    return few.join(given, "doc_id")
+    rows = named(docs, doc_id, text).where("doc_id is not null and text is not null").withColumn("bit", bloom_column("name"))
+    few = rows.mapInArrow(run, "doc_id long, text string, name long")
+    return few.join(given, "name").select("doc_id", "text", "name", "spans")
+
+
+def judged_stretches(rows: DataFrame, documents: int) -> DataFrame:
+    """(doc_id, name, span, later) of the stretches (key, u, doc_id, name, span) that come later than an equal
+    one, and of the first ones whose anchor name ``key`` occurs with more than one text ``u``."""
+    share = 16  # names are frequent or not by the stretches of a sixteenth of the documents
+    some = rows.where(F.pmod(F.xxhash64("name"), F.lit(share)) == 0).groupBy("key").agg(F.count("*").alias("c"))
+    hot = stored(hot_keys(some, max(1, documents // share)), "stretch-frequent")
+    marked = rows.join(F.broadcast(hot), "key", "left")
+    by_text, by_name = Window.partitionBy("key", "u"), Window.partitionBy("key")
+    few = marked.where("salts is null").drop("salts").repartition("key")
+    few = few.withColumn("d", F.min("doc_id").over(by_text)).withColumn("texts", F.min("u").over(by_name) != F.max("u").over(by_name))
+    many = marked.where("salts is not null").drop("salts")
+    texts = many.groupBy("key", "u").agg(F.min("doc_id").alias("d"), F.count("*").alias("c"))
+    names = texts.groupBy("key").agg((F.min("u") != F.max("u")).alias("texts"))  # 2 * HEAVY rows at most
+    many = salted_join(many, texts.join(F.broadcast(names), "key"), ["key", "u"], max(1, documents), ["name", "span"])
+    return few.unionByName(many.select(few.columns)).where("doc_id > d or texts").select("doc_id", "name", "span", (F.col("doc_id") > F.col("d")).alias("later"))
 
 
 def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(one row a document: doc_id, n_words, sha of all words; repeated word ranges: doc_id, at, size)."""
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """(one row a document: doc_id, name, n_words, sha of all words; repeated word ranges: name, at, size)."""
     at, size = F.floor(F.col("span") / SPAN).alias("at"), (F.col("span") % SPAN).alias("size")
-    parts = stored(given.mapInArrow(lambda batches: (_stretches(p) for p in slices(batches)), "kind long, key long, u long, doc_id long, span long, sha string"), "stretches")
-    # One shuffle, by the anchor's name, serves both questions: which stretches come later than an equal one, and
-    # which names occur with more than one text. A slice sends one row for each of its different stretches.
-    rows = parts.where("kind = 1").select("key", "u", "doc_id", "span").repartition("key")
-    by_text, by_name = Window.partitionBy("key", "u"), Window.partitionBy("key")
-    judged = rows.withColumn("d", F.min("doc_id").over(by_text)).withColumn("texts", F.min("u").over(by_name) != F.max("u").over(by_name))
-    judged = stored(judged.where("doc_id > d or texts").select("doc_id", "span", (F.col("doc_id") > F.col("d")).alias("later")), "stretch-judged")
-    later = judged.where("later").select("doc_id", at, size)
-    unsure = judged.where("not later").select("doc_id", F.struct(at, size).alias("x")).groupBy("doc_id").agg(F.collect_set("x").alias("spans"))  # as long as the document at most
+    parts = stored(named(docs, doc_id, text).mapInArrow(lambda batches: (_stretches(p) for p in slices(batches)), "kind long, key long, u long, doc_id long, name long, span long, sha string"), "stretches")
+    every = parts.where("kind = 0").select("doc_id", "name", F.col("span").alias("n_words"), "sha")
+    judged = stored(judged_stretches(parts.where("kind = 1").select("key", "u", "doc_id", "name", "span"), every.count()), "stretch-judged")
+    later = judged.where("later").select("name", at, size)
+    unsure = judged.where("not later").select("name", F.struct(at, size).alias("x")).groupBy("name").agg(F.collect_set("x").alias("spans"))  # as long as the document at most
     unsure = stored(unsure, "stretch-unsure")
-    wins = stored(_needed(docs, unsure, doc_id, text).select("doc_id", "text", "spans").mapInArrow(lambda batches: (_windows(p) for p in slices(batches)), "kind long, u1 long, u2 long, doc_id long, at long"), "stretch-windows")
-    one = wins.where("kind = 1").select("u1", "u2", "doc_id", "at")
-    twice = one.groupBy("u1", "u2").agg(F.min("doc_id").alias("d"), F.count("*").alias("c")).where("c > 1").select("u1", "u2", "d")
-    again = one.join(twice, ["u1", "u2"]).where("doc_id > d").select("doc_id", "at").unionByName(wins.where("kind = 2").select("doc_id", "at"))
-    ranges = parts.where("kind = 2").select("doc_id", at, size).unionByName(later).unionByName(again.withColumn("size", F.lit(WINDOW).cast("long")))
-    return parts.where("kind = 0").select("doc_id", F.col("span").alias("n_words"), "sha"), ranges
+    wins = stored(_needed(docs, unsure, doc_id, text).mapInArrow(lambda batches: (_windows(p) for p in slices(batches)), "kind long, u1 long, u2 long, doc_id long, name long, at long"), "stretch-windows")
+    one = wins.where("kind = 1").select("u1", "u2", "doc_id", "name", "at")
+    twice = one.groupBy("u1", "u2").agg(F.min("doc_id").alias("d"), F.count("*").alias("c")).where("c > 1")
+    again = salted_join(one, twice, ["u1", "u2"], max(1, one.count()), ["name", "at"]).where("doc_id > d").select("name", "at").unionByName(wins.where("kind = 2").select("name", "at"))
+    ranges = parts.where("kind = 2").select("name", at, size).unionByName(later).unionByName(again.withColumn("size", F.lit(WINDOW).cast("long")))
+    return every, ranges
 
 
 def _cut(part: pa.RecordBatch):
     """For each text with its ranges: the words that stay."""
     w = Words(*text_bytes(part.column(1)), SPACED, lower=False, hashed=False)
     raw = w.data.tobytes()
-    for i, spans in enumerate(part.column(2).to_pylist()):
+    for i, spans in enumerate(part.column(3).to_pylist()):
         n = int(w.first[i + 1] - w.first[i])
         cover = np.zeros(n + 1, np.int64)
         for r in spans:
@@ -258,29 +284,29 @@ def _cut(part: pa.RecordBatch):
 
 
 def cut_texts(docs: DataFrame, ranges: DataFrame, doc_id: str, text: str, whole: bool) -> DataFrame:
-    """doc_id, n_removed, and the text that stays (``whole``) or its digest, of documents with ranges."""
-    own = stored(ranges.groupBy("doc_id").agg(F.collect_set(F.struct("at", "size")).alias("spans")), "stretch-ranges")  # as long as the document at most
+    """doc_id, name, n_removed, and the text that stays (``whole``) or its digest, of documents with ranges."""
+    own = stored(ranges.groupBy("name").agg(F.collect_set(F.struct("at", "size")).alias("spans")), "stretch-ranges")  # as long as the document at most
 
     def run(batches):
         for part in slices(batches):
             got = list(_cut(part))
             values = [t.decode("utf-8") if whole else hashlib.sha256(t).hexdigest() for _, t in got]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array(values, pa.string())], names=["doc_id", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([n for n, _ in got], pa.int64()), pa.array(values, pa.string())], names=["doc_id", "name", "n_removed", "kept"])
 
-    return _needed(docs, own, doc_id, text).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_removed long, kept string")
+    return _needed(docs, own, doc_id, text).mapInArrow(run, "doc_id long, name long, n_removed long, kept string")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that lose words, with the text that stays: doc_id, n_removed, kept."""
     _, ranges = repeated_ranges(docs, doc_id, text)
-    return cut_texts(docs, ranges, doc_id, text, whole=True)
+    return cut_texts(docs, ranges, doc_id, text, whole=True).drop("name")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     every, ranges = repeated_ranges(docs)
-    cut = cut_texts(docs, ranges, "doc_id", "text", whole=False).dropDuplicates(["doc_id"])
-    return every.join(cut, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
+    cut = cut_texts(docs, ranges, "doc_id", "text", whole=False).drop("doc_id").dropDuplicates(["name"])
+    return every.join(cut, "name", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
 ORACLE = r"""
