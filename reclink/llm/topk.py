@@ -7,7 +7,10 @@ selection keeps each row's k best, and a window merges the blocks' winners (k ro
 again before the shuffle).
 
 Query and candidate blocks are bounded (``QUERIES``, ``BLOCK`` vectors). All query blocks meet all candidate
-blocks, which is the stated query set against all rows; each meeting is one row, so more machines share them.
+blocks, which is the stated query set against all rows, in the cells of a grid: candidate blocks are dealt to the
+grid's rows, query blocks to its columns, and a cell gets some ``side`` of each. Every candidate block is sent once
+for each column and every query block once for each row; the side grows with the root of the number of meetings
+(from 1 to ``SIDE``), so there are many even cells for many machines and the copies stay few.
 
 Defined cases: a vector that is null or holds null or non-finite components takes no part; vectors of other
 lengths meet in the dimensions they share; empty vectors score 0; ties go to the smaller vec_id; a query is
@@ -27,6 +30,7 @@ from .common import int64, stored, table
 
 SCALE = 256
 BLOCK, QUERIES = 2048, 2048
+CELLS, SIDE = 10_000, 32
 
 
 def quantised(df: DataFrame, vec_id: str, vector: str, scale: int = SCALE) -> DataFrame:
@@ -91,12 +95,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, vec_id: str = "vec_
     asked = quantised(queries, vec_id, vector, scale)
     q = blocks(asked.repartition(max(1, -(-asked.count() // QUERIES))), QUERIES)  # full blocks: each costs a copy of the candidates
     c = blocks(quantised(candidates, vec_id, vector, scale), BLOCK)
-    q = stored(q.select("ids", "terms", "rows", "weights").withColumn("n", F.monotonically_increasing_id()), "query-blocks")
-    c = stored(c, "candidate-blocks")
-    # Query blocks are numbered densely, so that each candidate block can name all of them in an equi-join.
-    numbers = [r["n"] for r in q.select("n").orderBy("n").toLocalIterator()]
-    meet = c.withColumn("n", F.explode(F.array([F.lit(x) for x in numbers]).cast("array<long>"))) if numbers else c.withColumn("n", F.lit(-1).cast("long"))
-    both = meet.join(q.select("n", *[F.col(x).alias(f"q_{x}") for x in ("ids", "terms", "rows", "weights")]), "n").drop("n")
+    q, c = stored(q, "query-blocks"), stored(c, "candidate-blocks")
+    m, n = c.count(), q.count()
+    side = min(SIDE, max(1, int((m * n / CELLS) ** 0.5)))
+    rows, columns = max(1, -(-m // side)), max(1, -(-n // side))
+    cell = lambda own, k: F.pmod(F.xxhash64("ids"), F.lit(k)).cast("int").alias(own)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = c.select("*", cell("g", rows), every(columns).alias("h"))
+    right = q.select(*[F.col(x).alias(f"q_{x}") for x in q.columns], cell("h", columns), every(rows).alias("g"))
+    both = left.join(right.hint("merge"), ["g", "h"]).drop("g", "h")
 
     def run(batches):
         for batch in batches:
