@@ -1,18 +1,20 @@
 """Operator 10: main text of web pages, with site templates removed.
 
 Pass one hashes the outer markup of a page's block elements (white space normalised, and digits outside
-articles) and counts, for each host, the pages on which a subtree recurs. Pass two deletes subtrees that
-recur on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages, deletes elements whose tag, role,
-class or id marks them as menu, header, footer, sidebar, notice, advert, form or comments, and keeps the
-blocks of the articles (of ``main`` or the body where a page has none).
+articles) and counts, for each host, the pages on which a subtree recurs. Pass two deletes the subtrees that
+recur on many pages: outside ``article`` and ``main`` on at least ``MIN_PAGES`` different pages of the host. Inside, the rule
+is stricter: a subtree has to recur with its digits on ``INNER_SHARE`` of the host's pages and ``INNER_PAGES``;
+headings and single list items and cells stay, and so does a page whose every passage recurs. Passages that
+fewer articles share stay.
 
-Inside ``article`` and ``main`` the rule is stricter: a subtree has to recur with its digits on ``INNER_SHARE``
-of the host's pages, headings and single list items and cells stay, and so does what is left of a page
-whose every passage recurs. Passages that fewer articles share stay.
+What the counts leave is looked at by rules (``rules=False`` turns them off), which decide alone on hosts of too
+few pages for counts and on furniture that no two pages share: elements whose tag, role, class or id marks them
+as menu, header, footer, sidebar, notice, advert, form or comments go, and of the rest the blocks of the articles
+stay (of ``main`` or the body where a page has none).
 
-Templates are counted with one row per page slice, host and subtree, so a host with a third of all pages is
-combined before the shuffle. While they number at most ``TEMPLATES`` (16 bytes each) they travel to the tasks
-in a closure; beyond that they are joined to the pages by host.
+One plan serves any number of templates: pages are named by a 128-bit hash of host and markup, and each gets the
+list of its own templates by a join. Templates and copies of a page with a large share of all rows are dealt out
+by salts, and copies of a page are hashed once for each slice.
 
 Defined cases: null and empty pages give an empty text; a null URL counts as the host ''; unclosed and
 truncated markup ends with its parent or the page, an unfinished tag at the end is dropped; repeated rows are
@@ -29,18 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import copied, dealt, hot_keys, salted_join, slices, stored, table
 from .urls import host_of
 
-MIN_PAGES, MIN_SHARE, INNER_SHARE, TEMPLATES = 8, 0.05, 0.5, 200_000
+MIN_PAGES, INNER_PAGES, INNER_SHARE = 5, 8, 0.5
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<(?=/?[a-zA-Z])[^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
 DROPPED = frozenset("nav header footer aside form button select option menu dialog svg canvas object head math".split()) | RAW
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul br".split())
-#: Elements that can be a template inside an article.
+#: Elements that can be a template.
 INNER = BLOCK - frozenset("article main body html br li dt dd h1 h2 h3 h4 h5 h6 hgroup tr td th thead tbody tfoot".split())
+#: Elements that are no template by themselves outside articles, where digits do not count: pages without an article have their text there.
+PROSE = frozenset("p blockquote pre center address".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer foot comment comments disqus replies respond share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -135,7 +139,7 @@ def digest(markup: str, inner: bool = False) -> int:
 
 
 def countable(e: Element) -> bool:
-    return not e.dropped and e.tag in INNER if e.inside else e.tag in BLOCK and e.tag not in ("html", "body")
+    return e.tag in INNER and (not e.dropped if e.inside else e.tag not in PROSE)
 
 
 def subtrees(page: str) -> set[int]:
@@ -152,96 +156,106 @@ def subtrees(page: str) -> set[int]:
     return out
 
 
-def main_text(page: str | None, templates=frozenset()) -> str:
+def main_text(page: str | None, templates=frozenset(), rules: bool = True) -> str:
     if not page:
         return ""
-    blocks: dict[int, list[str]] = {0: [], 1: [], 2: []}
+    blocks: list[tuple[int, bool, str]] = []  # (0 outside, 1 in main, 2 in an article; marked by the rules; text)
+    gone: set[int] = set()
+    opened: dict[int, int] = {}
     current: list[str] = []
-    level = 0
-    opened: dict[int, tuple[int, int, int]] = {}
-    gone: dict[int, set[int]] = {1: set(), 2: set()}
+    level, dropped = 0, False
 
     def flush():
         nonlocal current
         if current:
             text = SPACE.sub(" ", html.unescape("".join(current))).strip()
             if text:
-                blocks[level].append(text)
+                blocks.append((level, dropped, text))
             current = []
 
     for event in scan(page):
         kind = event[0]
         if kind == "text":
             e = event[2][-1]
-            if not e.dropped:
-                if e.inside != level:
-                    flush()
-                    level = e.inside
-                current.append(event[1])
+            if e.inside != level or e.dropped != dropped:
+                flush()
+                level, dropped = e.inside, e.dropped
+            current.append(event[1])
         elif kind == "break":
             flush()
         elif event[1].tag in BLOCK:
             flush()
             e = event[1]
-            if templates and not e.dropped and countable(e):
+            if templates and countable(e):
                 if kind == "open":
-                    opened[id(e)] = (len(blocks[0]), len(blocks[1]), len(blocks[2]))
-                elif (was := opened.pop(id(e), None)) and was[e.inside + 1 :] == (len(blocks[1]), len(blocks[2]))[e.inside :] and was[e.inside] < len(blocks[e.inside]) and digest(page[e.start : event[2]], e.inside > 0) in templates:
-                    if e.inside:
-                        gone[e.inside].update(range(was[e.inside], len(blocks[e.inside])))
-                    else:
-                        del blocks[0][was[0] :]
+                    opened[id(e)] = len(blocks)
+                else:
+                    own = range(opened.pop(id(e), len(blocks)), len(blocks))
+                    if own and all(blocks[i][0] == e.inside for i in own) and digest(page[e.start : event[2]], e.inside > 0) in templates:
+                        gone.update(own)
     flush()
+    if not rules:
+        return " ".join(x for i, (_, _, x) in enumerate(blocks) if i not in gone)
     for k in (2, 1):
-        if blocks[k]:
-            return " ".join([x for i, x in enumerate(blocks[k]) if i not in gone[k]] or blocks[k])
-    return " ".join(blocks[0])
+        if own := [i for i, (at, marked, _) in enumerate(blocks) if at == k and not marked]:
+            return " ".join(blocks[i][2] for i in ([i for i in own if i not in gone] or own))
+    return " ".join(x for i, (_, marked, x) in enumerate(blocks) if not marked and i not in gone)
 
 
 def hosts(pages: DataFrame, url: str, markup: str) -> DataFrame:
-    return pages.select(F.col("page_id"), F.col(url).alias("url"), F.coalesce(host_of(F.col(url).cast("string")), F.lit("")).alias("host"), F.col(markup).cast("string").alias("text"))
+    """page_id, url, text and the page's name (host, p, q)."""
+    given = pages.select(F.col("page_id"), F.col(url).alias("url"), F.coalesce(host_of(F.col(url).cast("string")), F.lit("")).alias("host"), F.col(markup).cast("string").alias("text"))
+    return given.withColumn("p", F.xxhash64("host", "text")).withColumn("q", F.xxhash64("text", F.lit(1), "host"))
 
 
-def template_counts(given: DataFrame) -> DataFrame:
-    """(host, subtree) of recurring subtrees."""
+def page_subtrees(given: DataFrame) -> DataFrame:
+    """(host, p, q, c, subtrees): the distinct pages, their copies and the hashes of their subtrees."""
 
     def run(batches):
         for part in slices(batches):
             seen: dict = {}
-            for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                seen[host, None] = seen.get((host, None), 0) + 1
-                for x in subtrees(page) if page else ():
-                    seen[host, x] = seen.get((host, x), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "subtree", "n"])
-
-    counts = given.select("host", "text").mapInArrow(run, "host string, subtree long, n long").groupBy("host", "subtree").agg(F.sum("n").alias("n"))
-    often = counts.where((F.col("n") >= MIN_PAGES) & F.col("subtree").isNotNull())
-    whole = counts.where(F.col("subtree").isNull()).select("host", F.col("n").alias("all"))
-    share = F.when(F.col("subtree").bitwiseAND(1) == 1, INNER_SHARE).otherwise(MIN_SHARE)
-    return often.join(whole, "host").where(F.col("n") >= share * F.col("all")).select("host", "subtree")
-
-
-def extract(pages: DataFrame, url: str = "url", markup: str = "html", limit: int = TEMPLATES) -> DataFrame:
+            for host, p, q, page in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                if (p, q) in seen:
+                    seen[p, q][1] += 1
+                else:
+                    seen[p, q] = [host, 1, sorted(subtrees(page)) if page else []]
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.string()), *[pa.array([k[i] for k in seen], pa.int64()) for i in (0, 1)], pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[2] for v in seen.values()], pa.list_(pa.int64()))], names=["host", "p", "q", "c", "subtrees"])
+
+    each = given.select("host", "p", "q", "text").mapInArrow(run, "host string, p long, q long, c long, subtrees array<long>")
+    return stored(each.groupBy("p", "q").agg(F.any_value("host").alias("host"), F.sum("c").alias("c"), F.any_value("subtrees").alias("subtrees")), "page-subtrees")
+
+
+def templates(found: DataFrame) -> DataFrame:
+    """(host, subtree, c): the subtrees that recur, with the number of pages that differ and hold them."""
+    pages = found.groupBy("host").agg(F.sum("c").alias("all"))
+    counts = found.select("host", "c", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.sum("c").alias("n"), F.count("*").alias("c")).where((F.col("c") >= MIN_PAGES) | (F.col("n") >= INNER_PAGES))
+    per_host = pages.join(counts.groupBy("host").agg(F.count("*").alias("c")).hint("merge"), "host")
+    inner = F.col("subtree").bitwiseAND(1) == 1
+    # The templates of a host with a third of all pages are dealt out too.
+    judged = salted_join(counts.withColumnRenamed("c", "different"), per_host, ["host"], max(1, found.count()), ["subtree"]).withColumnRenamed("different", "c")
+    often = F.when(inner, (F.col("n") >= INNER_PAGES) & (F.col("n") >= INNER_SHARE * F.col("all"))).otherwise(F.col("c") >= MIN_PAGES)
+    return judged.where(often).select("host", "subtree", "c")
+
+
+def extract(pages: DataFrame, url: str = "url", markup: str = "html", rules: bool = True) -> DataFrame:
     """page_id, url, text."""
     given = hosts(pages, url, markup)
-    found = template_counts(given)
-    rows = found.limit(limit + 1).collect()  # limit + 1 small rows at most
-    known: dict = {}
-    if len(rows) <= limit:
-        for r in rows:
-            known.setdefault(r["host"], set()).add(r["subtree"])
-        joined = given.select("page_id", "url", "text", "host", F.array().cast("array<long>").alias("own"))
-    else:
-        own = found.groupBy("host").agg(F.collect_set("subtree").alias("own"))  # at most 1 / MIN_SHARE times the elements of a page
-        joined = given.join(own, "host", "left").select("page_id", "url", "text", "host", "own")
+    found = page_subtrees(given)
+    known = stored(templates(found), "page-templates")
+    held = found.select("host", "p", "q", "c", F.explode("subtrees").alias("subtree")).withColumnRenamed("c", "copies")
+    total = found.agg(F.sum(F.size("subtrees")), F.sum("c")).first()
+    own = salted_join(held, known, ["host", "subtree"], total[0] or 1, ["p", "q"]).groupBy("p", "q").agg(F.collect_set("subtree").alias("own"), F.max("copies").alias("c"))  # a page's elements at most
+    own = stored(own, "page-own")
+    hot = hot_keys(own.select("p", "q", "c"), total[1] or 1)
+    # No hint here: a small table of lists is broadcast by Spark, and then no markup is shuffled.
+    joined = dealt(given, hot, ["p", "q"], ["page_id"]).join(copied(own, total[1] or 1), ["p", "q", "salt"], "left").select("page_id", "url", "text", "own")
 
     def run(batches):
         for part in slices(batches):
-            texts = [main_text(page, known.get(host) or set(own or ())) for page, host, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+            texts = [main_text(page, set(own or ()), rules) for page, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    schema = given.select("page_id", "url", "text").schema
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, given.select("page_id", "url", "text").schema)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
