@@ -12,8 +12,9 @@ Offsets count code points, ends are exclusive. Patterns with possessive quantifi
 match, in linear time and without recursion, so very long texts are safe.
 
 Defined cases: null and empty texts have no spans; rows that repeat a doc_id are each judged; without any
-candidate the classifier adds nothing; extra columns pass through ``find`` (a column named like its result is
-replaced).
+candidate the classifier adds nothing; all other columns pass through ``find`` and ``redact``, whatever their names
+(a column named ``pii_spans`` is replaced). Texts are searched once: what the search finds is stored beside the
+columns that are kept, and the classifier is fitted on and applied to that.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = {
@@ -157,13 +158,15 @@ def votes(text: Column, x: Column, strict: Column) -> Column:
     return F.struct(vote(strict, none).alias("format"), check.alias("check"), gazetteer.alias("gazetteer"), cue.alias("context"), border.alias("border"), length.alias("length"))
 
 
-def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_base`` (base spans) and ``_more`` (other candidates that overlap no base span), with votes."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = df.withColumn("_base0", base_spans(t)).withColumn("_more0", wider_spans(t))
-    clear = F.filter("_more0", lambda x: ~F.exists("_base0", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+def candidates(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, base, more): the columns ``keep`` (all by default) as one struct, so that no name can clash, the base
+    spans, and the other candidates that overlap no base span, with votes."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias("row")
+    t = F.col("t")
+    found = df.select(row, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).select("row", "t", base_spans(t).alias("base0"), wider_spans(t).alias("more0"))
+    clear = F.filter("more0", lambda x: ~F.exists("base0", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     voted = lambda xs, base: F.transform(xs, lambda x: F.struct(x["start"], x["kind"], x["end"], votes(t, x, F.lit(base)).alias("votes")))
-    return out.withColumn("_base", voted(F.col("_base0"), True)).withColumn("_more", voted(clear, False)).drop("_base0", "_more0")
+    return found.select("row", voted(F.col("base0"), True).alias("base"), voted(clear, False).alias("more"))
 
 
 def expectation_maximisation(counts: list[tuple], rounds: int = 60) -> dict[tuple, float]:
@@ -223,8 +226,8 @@ def train_classifier(rows: list[tuple], rounds: int = 400, rate: float = 0.5, l2
 
 
 def fit(df: DataFrame) -> dict[str, float]:
-    """The span classifier's weights, from all candidates of a frame made by ``with_candidates``."""
-    each = df.select(F.explode(F.concat("_base", "_more")).alias("x")).groupBy("x.kind", *[f"x.votes.{n}" for n in LABELERS], "x.votes.length").count()
+    """The span classifier's weights, from all candidates of a frame made by ``candidates``."""
+    each = df.select(F.explode(F.concat("base", "more")).alias("x")).groupBy("x.kind", *[f"x.votes.{n}" for n in LABELERS], "x.votes.length").count()
     rows = [((r["kind"], tuple(r[n] for n in LABELERS)), r["length"], r["count"]) for r in each.collect()]
     merged: dict = {}
     for key, _, n in rows:
@@ -248,16 +251,22 @@ def probability(x: Column, weights: dict[str, float]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def find(df: DataFrame, text: str = "text", weights: dict[str, float] | None = None, cut: float = CUT) -> DataFrame:
-    """Adds ``pii_spans``: (start, kind, end, base) of all spans by start and then kind."""
-    given = with_candidates(df, text)
-    weights = fit(given) if weights is None else weights
+def find(df: DataFrame, text: str = "text", weights: dict[str, float] | None = None, cut: float = CUT, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all by default) and ``pii_spans``: (start, kind, end, base) of all spans by start and
+    then kind. To fit the classifier, the candidates of the one search are stored with the kept columns."""
+    given = candidates(df, text, keep)
+    if weights is None:
+        given = stored(given, "pii-candidates")
+        weights = fit(given)
     plain = lambda x, base: F.struct(x["start"], x["kind"], x["end"], F.lit(base).alias("base"))
     # A candidate that fails its checksum or range is never added, however little data the weights are from.
-    kept = F.filter("_more", lambda x: (x["votes"]["check"] >= 0) & (probability(x, weights) >= cut))
+    kept = F.filter("more", lambda x: (x["votes"]["check"] >= 0) & (probability(x, weights) >= cut))
     # Of candidates that overlap, the one that starts first stays, the longer one of a tie.
-    seen = F.aggregate(F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("a"), (-x["end"]).alias("b"), plain(x, False).alias("x")))), F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<start: int, kind: int, end: int, base: boolean>>").alias("out")), lambda s, y: F.when(y["a"] >= s["end"], F.struct((-y["b"]).alias("end"), F.concat(s["out"], F.array(y["x"])).alias("out"))).otherwise(s), lambda s: s["out"])
-    return given.withColumn("pii_spans", F.array_sort(F.concat(F.transform("_base", lambda x: plain(x, True)), seen))).drop("_base", "_more")
+    ranked = F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("a"), (-x["end"]).alias("b"), plain(x, False).alias("x"))))
+    none = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<start: int, kind: int, end: int, base: boolean>>").alias("out"))
+    added = F.aggregate(ranked, none, lambda s, y: F.when(y["a"] >= s["end"], F.struct((-y["b"]).alias("end"), F.concat(s["out"], F.array(y["x"])).alias("out"))).otherwise(s), lambda s: s["out"])
+    spans = F.array_sort(F.concat(F.transform("base", lambda x: plain(x, True)), added)).alias("pii_spans")
+    return given.select(*[F.col(f"row.`{c}`") for c in (df.columns if keep is None else keep) if c != "pii_spans"], spans)
 
 
 def listed(spans: Column) -> Column:
@@ -267,25 +276,32 @@ def listed(spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace what ``pii_spans`` cover by ``[KIND]``; overlapping spans become one, named by the first."""
-    t, tags = F.col(text).cast("string"), F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    t, tags = F.col(f"`{text}`").cast("string"), F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     run = "array<struct<start: int, end: int, kind: int>>"
-    last = lambda s: F.element_at(s, -1)
-    merged = F.aggregate("pii_spans", F.array().cast(run), lambda s, x: F.when((F.size(s) > 0) & (F.coalesce(F.get(s, F.size(s) - 1)["end"], F.lit(-1)) > x["start"]), F.concat(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.struct(F.get(s, F.size(s) - 1)["start"].alias("start"), F.greatest(F.get(s, F.size(s) - 1)["end"], x["end"]).alias("end"), F.get(s, F.size(s) - 1)["kind"].alias("kind"))))).otherwise(F.concat(s, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))))
-    out = df.withColumn("_m", merged)
-    pieces = F.transform("_m", lambda x, i: F.concat(F.substring(t, F.coalesce(F.get("_m", i - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get("_m", i - 1)["end"], F.lit(0))), F.element_at(tags, x["kind"] + 1)))
-    tail = F.substring(t, last(F.col("_m"))["end"] + 1, F.char_length(t))
-    return out.withColumn(text, F.when(F.size("_m") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(t)).drop("_m")
+    top = lambda s: F.get(s, F.size(s) - 1)
+    span = lambda a, b, k: F.array(F.struct(a.alias("start"), b.alias("end"), k.alias("kind")))
+    longer = lambda s, x: F.concat(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), span(top(s)["start"], F.greatest(top(s)["end"], x["end"]), top(s)["kind"]))
+    merged = F.aggregate("pii_spans", F.array().cast(run), lambda s, x: F.when(F.coalesce(top(s)["end"], F.lit(-1)) > x["start"], longer(s, x)).otherwise(F.concat(s, span(x["start"], x["end"], x["kind"]))))
+
+    def masked(m: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
+        pieces = F.transform(m, lambda x, i: F.concat(F.substring(t, before(i) + 1, x["start"] - before(i)), F.element_at(tags, x["kind"] + 1)))
+        return F.when(F.size(m) > 0, F.concat(F.array_join(pieces, ""), F.substring(t, top(m)["end"] + 1, F.char_length(t)))).otherwise(t)
+
+    return df.withColumn(text, let(merged, masked))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.filter("pii_spans", lambda x: x["base"])
     of = lambda i: lambda x: x["base"] & (x["kind"] == i)
     counts = [F.size(F.filter("pii_spans", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; the personal data in their texts is replaced, and n_chars follows the text."""
-    found = redact(find(docs)).drop("pii_spans")
-    return found.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All documents stay; the personal data in their texts is replaced, and n_chars (if there) follows the text."""
+    found = redact(find(docs))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
