@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import salted_join, table
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -82,24 +82,41 @@ def listed_hits(rows: DataFrame, key: str, listed: DataFrame, log2_blocks: int =
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple = RULES, url: str = "url") -> DataFrame:
-    """Adds host, path, rule and verdict to the pages. ``listed``: URLs to block (column url)."""
-    u = F.col(url).cast("string")
+    """Adds host, path, rule and verdict to the pages (columns of these names are replaced). ``listed``: URLs to
+    block (column url). The pages' columns travel as one struct, so no name can clash."""
+    u = F.col(f"`{url}`").cast("string")
+    new = ("host", "path", "rule", "verdict")
+    found = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host_of(u).alias("host"), path_of(u).alias("path"), canonical(u).alias("key"))
     # Longest first: of two rules that fit one host, the longer name is the more special host.
-    order = sorted(rules, key=lambda r: -len(r[0] + r[1]))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in reversed(order):
+    for r in sorted(rules, key=lambda r: len(r[0] + r[1])):
         rule = F.when(fits(F.col("host"), F.col("path"), r), F.lit(r[0] + r[1])).otherwise(rule)
         verdict = F.when(fits(F.col("host"), F.col("path"), r), F.lit(r[2])).otherwise(verdict)
-    found = pages.withColumn("host", host_of(u)).withColumn("path", path_of(u)).withColumn("rule", rule).withColumn("verdict", verdict).withColumn("_key", F.when(F.col("host") != "", canonical(u)))
-    hits = listed_hits(found.where("rule is null and _key is not null").select("_key").distinct(), "_key", listed.select(canonical(F.col("url").cast("string")).alias("key")))
-    marked = found.join(hits.select("_key", F.lit(True).alias("_hit")), "_key", "left")
-    return marked.withColumn("verdict", F.coalesce("verdict", F.when(F.coalesce("_hit", F.lit(False)), "block").otherwise("allow"))).drop("_key", "_hit")
+    found = found.select("row", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.when(F.col("host") != "", F.col("key")).alias("key"))
+    asked = found.where("rule is null and key is not null").groupBy("key").agg(F.count("*").alias("c"))
+    hits = listed_hits(asked, "key", listed.select(canonical(F.col("url").cast("string")).alias("key"))).withColumn("hit", F.lit("block"))
+    # A URL can be that of a third of all pages: its pages are dealt out.
+    marked = salted_join(found, hits, ["key"], max(1, pages.count()), ["row"], "left")
+    by_list = F.when(F.col("rule").isNull(), F.col("hit"))
+    return marked.select(*[F.col(f"row.`{c}`") for c in pages.columns if c not in new], "host", "path", "rule", F.coalesce("verdict", by_list, F.lit("allow")).alias("verdict"))
+
+
+#: The registered list, made by a rule and not from the pages: these hosts and their m. and blog. subdomains, in four
+#: languages, with the numbers up to LISTED_NUMBERS that three does not divide; 159,984 URLs.
+LISTED_HOSTS = ("casino-win.example.com", "spam-farm.example.org")
+LISTED_LANGUAGES = ("en", "de", "fr", "es")
+LISTED_NUMBERS = 10_000
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The registered list (column url)."""
+    each = lambda xs: F.explode(F.array(*[F.lit(x) for x in xs]))
+    numbers = spark.range(LISTED_NUMBERS).where("id % 3 <> 0").select("id", each([f"{sub}{h}" for h in LISTED_HOSTS for sub in ("", "m.", "blog.")]).alias("host"))
+    return numbers.select("id", "host", each(LISTED_LANGUAGES).alias("lang")).select(F.format_string("https://%s/%s/%d", "host", "lang", "id").alias("url"))
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: the URLs of pages on hosts whose first label names them as spam."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, pages.where(host_of(F.col("url")).startswith("spam-")).select("url")).select("page_id", "host", "path", "rule", "verdict")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), listed_urls(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 ORACLE = r"""
@@ -113,5 +130,6 @@ r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AN
         WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM c)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN host <> '' AND key IN (SELECT key FROM c WHERE starts_with(host, 'spam-')) THEN 'block' ELSE 'allow' END AS verdict FROM r
+  WHEN host <> '' AND key IN (SELECT sub || h || '/' || lang || '/' || n FROM range(10000) t(n), unnest(['', 'm.', 'blog.']) s(sub), unnest(['casino-win.example.com', 'spam-farm.example.org']) x(h), unnest(['en', 'de', 'fr', 'es']) l(lang) WHERE n % 3 <> 0)
+  THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
