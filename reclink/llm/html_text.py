@@ -12,9 +12,10 @@ few pages for counts and on furniture that no two pages share: elements whose ta
 as menu, header, footer, sidebar, notice, advert, form or comments go, and of the rest the blocks of the articles
 stay (of ``main`` or the body where a page has none).
 
-One plan serves any number of templates: pages are named by a 128-bit hash of host and markup, and each gets the
-list of its own templates by a join. Templates and copies of a page with a large share of all rows are dealt out
-by salts, and copies of a page are hashed once for each slice.
+One plan serves any number of templates: pages are named by a 128-bit hash of host and markup, and each page with
+templates that decide gets the list of them by a join. The markup of the others does not move: a bitmap of fixed
+size keeps it back. Templates and copies of a page with a large share of all rows are dealt out by salts, and
+copies of a page are hashed once for each slice.
 
 Defined cases: null and empty pages give an empty text; a null URL counts as the host ''; unclosed and
 truncated markup ends with its parent or the page, an unfinished tag at the end is dropped; repeated rows are
@@ -30,8 +31,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import copied, dealt, hot_keys, salted_join, slices, stored, table
+from .common import bloom_bitmap, bloom_column, bloom_test, copied, dealt, hot_keys, salted_join, slices, stored, table
 from .urls import host_of
 
 MIN_PAGES, INNER_PAGES, INNER_SHARE = 5, 8, 0.5
@@ -142,9 +144,10 @@ def countable(e: Element) -> bool:
     return e.tag in INNER and (not e.dropped if e.inside else e.tag not in PROSE)
 
 
-def subtrees(page: str) -> set[int]:
-    """Hashes of the block elements that hold no article (of those in ``main`` also)."""
-    out, holds = set(), set()
+def subtrees(page: str) -> tuple[set[int], bool]:
+    """Hashes of the elements that can be templates and hold no article (of those in ``main`` also), and whether the
+    page has text of its own inside ``article`` or ``main``."""
+    out, holds, inner = set(), set(), False
     for event in scan(page):
         if event[0] == "open":
             if event[1].inside:
@@ -153,7 +156,10 @@ def subtrees(page: str) -> set[int]:
             e = event[1]
             if countable(e) and id(e) not in holds:
                 out.add(digest(page[e.start : event[2]], e.inside > 0))
-    return out
+        elif event[0] == "text" and not inner:
+            e = event[2][-1]
+            inner = e.inside > 0 and not e.dropped and not html.unescape(event[1]).isspace()
+    return out, inner
 
 
 def main_text(page: str | None, templates=frozenset(), rules: bool = True) -> str:
@@ -209,7 +215,7 @@ def hosts(pages: DataFrame, url: str, markup: str) -> DataFrame:
 
 
 def page_subtrees(given: DataFrame) -> DataFrame:
-    """(host, p, q, c, subtrees): the distinct pages, their copies and the hashes of their subtrees."""
+    """(host, p, q, c, subtrees, inner): the distinct pages, their copies and what ``subtrees`` says of them."""
 
     def run(batches):
         for part in slices(batches):
@@ -218,11 +224,14 @@ def page_subtrees(given: DataFrame) -> DataFrame:
                 if (p, q) in seen:
                     seen[p, q][1] += 1
                 else:
-                    seen[p, q] = [host, 1, sorted(subtrees(page)) if page else []]
-            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.string()), *[pa.array([k[i] for k in seen], pa.int64()) for i in (0, 1)], pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[2] for v in seen.values()], pa.list_(pa.int64()))], names=["host", "p", "q", "c", "subtrees"])
+                    own, inner = subtrees(page) if page else (set(), False)
+                    seen[p, q] = [host, 1, sorted(own), inner]
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+            values = [pa.array([v[i] for v in seen.values()], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in seen], pa.int64()) for i in (0, 1)], *values], names=["p", "q", "host", "c", "subtrees", "inner"])
 
-    each = given.select("host", "p", "q", "text").mapInArrow(run, "host string, p long, q long, c long, subtrees array<long>")
-    return stored(each.groupBy("p", "q").agg(F.any_value("host").alias("host"), F.sum("c").alias("c"), F.any_value("subtrees").alias("subtrees")), "page-subtrees")
+    each = given.select("host", "p", "q", "text").mapInArrow(run, "p long, q long, host string, c long, subtrees array<long>, inner boolean")
+    return stored(each.groupBy("p", "q").agg(F.any_value("host").alias("host"), F.sum("c").alias("c"), F.any_value("subtrees").alias("subtrees"), F.any_value("inner").alias("inner")), "page-subtrees")
 
 
 def templates(found: DataFrame) -> DataFrame:
@@ -242,20 +251,35 @@ def extract(pages: DataFrame, url: str = "url", markup: str = "html", rules: boo
     given = hosts(pages, url, markup)
     found = page_subtrees(given)
     known = stored(templates(found), "page-templates")
-    held = found.select("host", "p", "q", "c", F.explode("subtrees").alias("subtree")).withColumnRenamed("c", "copies")
+    # With rules, text inside an article or main decides alone: then templates outside it change nothing.
+    deciding = F.filter("subtrees", lambda x: (x.bitwiseAND(1) == 1) == F.col("inner")) if rules else F.col("subtrees")
+    held = found.select("host", "p", "q", F.col("c").alias("copies"), F.explode(deciding).alias("subtree"))
     total = found.agg(F.sum(F.size("subtrees")), F.sum("c")).first()
     own = salted_join(held, known, ["host", "subtree"], total[0] or 1, ["p", "q"]).groupBy("p", "q").agg(F.collect_set("subtree").alias("own"), F.max("copies").alias("c"))  # a page's elements at most
     own = stored(own, "page-own")
-    hot = hot_keys(own.select("p", "q", "c"), total[1] or 1)
-    # No hint here: a small table of lists is broadcast by Spark, and then no markup is shuffled.
-    joined = dealt(given, hot, ["p", "q"], ["page_id"]).join(copied(own, total[1] or 1), ["p", "q", "salt"], "left").select("page_id", "url", "text", "own")
+    bitmap = bloom_bitmap(own, "p")
 
-    def run(batches):
+    def plain(batches):
         for part in slices(batches):
+            hit = bloom_test(bitmap, part.column(5).to_numpy(zero_copy_only=False))
+            whole = part.column(2).to_pylist()
+            texts = [None if h else main_text(page, frozenset(), rules) for page, h in zip(whole, hit, strict=True)]
+            kept = [page if h else None for page, h in zip(whole, hit, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(kept, pa.string()), part.column(3), part.column(4), pa.array(hit), pa.array(texts, pa.string())], names=["page_id", "url", "markup", "p", "q", "hit", "text"])
+
+    def cut(batches):
+        for part in slices(batches, text="markup"):
             texts = [main_text(page, set(own or ()), rules) for page, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.mapInArrow(run, given.select("page_id", "url", "text").schema)
+    # Most markup never moves: a bitmap of fixed size names the pages that may hold a template that decides.
+    rows = given.select("page_id", "url", F.col("text").alias("markup"), "p", "q", bloom_column("p").alias("bit"))
+    schema = T.StructType([*rows.schema.fields[:5], *T._parse_datatype_string("hit boolean, text string").fields])
+    once = stored(rows.withColumnRenamed("markup", "text").mapInArrow(plain, schema), "page-texts")
+    hot = hot_keys(own.select("p", "q", "c"), total[1] or 1)
+    again = dealt(once.where("hit"), hot, ["p", "q"], ["page_id"]).join(copied(own, total[1] or 1).hint("merge"), ["p", "q", "salt"], "left").select("page_id", "url", "markup", "own")
+    out = once.where("not hit").select("page_id", "url", "text")
+    return out.unionByName(again.mapInArrow(cut, out.schema))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -348,7 +348,7 @@ def test_html_templates_equal_counting_by_hand(spark):
     held, count, different, pages_of = {}, {}, {}, {}
     for _, u, h in rows:
         pages_of[host(u)] = pages_of.get(host(u), 0) + 1
-        for x in html_text.subtrees(h) if h else ():
+        for x in html_text.subtrees(h)[0] if h else ():
             count[host(u), x] = count.get((host(u), x), 0) + 1
             different.setdefault((host(u), x), set()).add(h)
     for (k, x), n in count.items():
