@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import unicodedata
 
+from . import indic
 from . import vocabulary as V
 
 
@@ -49,6 +50,15 @@ class Dialect:
         left = self.join(self.keep(self.words(x), "w", f"w NOT IN ({names})"))
         return f"CASE WHEN {left} = '' THEN {x} ELSE {left} END"
 
+    def core_words(self, w, names):
+        """The words of an array without legal tokens, or all where nothing else is left."""
+        left = self.keep(w, "t", f"t NOT IN ({names})")
+        return f"CASE WHEN {self.size(left)} = 0 THEN {w} ELSE {left} END"
+
+    def let(self, x, v, body):
+        """``body`` with ``x`` computed once, under the name ``v``."""
+        return self.first(self.map(self.array(x), v, body))
+
     def phonetic(self, x):
         x = f"lower({x})"
         for a, b in V.DIGRAPHS:
@@ -64,7 +74,7 @@ class Dialect:
         return self.runs(f"lower({self.rx(x, '[aeiou]', '')})")
 
     def runs(self, x):
-        for c in "abcdefghijklmnopqrstuvwxyz":
+        for c in "abcdefghijklmnopqrstuvwxyz0123456789ßæœøđłþð":
             x = self.rx(x, f"{c}{c}+", c)
         return x
 
@@ -74,7 +84,7 @@ class Dialect:
 
     def scripts(self, x):
         """The scripts of a text's letters, sorted."""
-        cases = [f"CASE WHEN {self.like(x, f'[\\x{{{a:X}}}-\\x{{{b:X}}}]')} THEN '{name}' END" for name, (a, b) in V.SCRIPTS.items()]
+        cases = [f"CASE WHEN {self.like(x, f'{self.alpha}[\\x{{{a:X}}}-\\x{{{b:X}}}]')} THEN '{name}' END" for name, (a, b) in V.SCRIPTS.items()]
         cases.append(f"CASE WHEN {self.like(x, r'[A-Za-zªµºÀ-ÖØ-öø-ɏ]')} THEN 'latin' END")
         return self.sort(self.keep(self.array(*cases), "s", "s IS NOT NULL"))
 
@@ -99,7 +109,7 @@ class Dialect:
 
 
 class Spark(Dialect):
-    name, group = "spark", "$1"
+    name, group, alpha = "spark", "$1", r"(?=\p{L})"
 
     def text(self, s):
         return "r'" + s.replace("'", "\\x27") + "'"
@@ -117,9 +127,42 @@ class Spark(Dialect):
         return f"regexp_extract_all({x}, {self.text(pattern)}, 0)"
 
     def fold(self, x):
+        """Without Latin diacritics; letters of the nine scripts composed, or taken apart, as NFC has them."""
         a, b = _marks()
         return f"regexp_replace(translate({x}, '{a}', '{b}'), r'[\\x{{300}}-\\x{{36F}}]', '')"
 
+    def compose(self, x):
+        return f"CASE WHEN rlike({x}, r'[\\x{{900}}-\\x{{D7F}}]') THEN {indic.composed(x)} ELSE {x} END"
+
+    def translit(self, x):
+        return indic.transliterated(x)
+
+    def runs(self, x):
+        return f"regexp_replace({x}, r'(.)\\1+', '$1')"
+
+    def lookup(self, table, key):
+        return f"map({', '.join(f'{a!r}, {b!r}' for a, b in table.items())})[{key}]"
+
+    def last(self, a):
+        return f"try_element_at({a}, -1)"
+
+    def first(self, a):
+        return f"get({a}, 0)"
+
+    def places(self, a, v, body):
+        """Places (from 0) of the elements of which ``body`` is true."""
+        return f"filter(transform({a}, ({v}, i_) -> CASE WHEN {body} THEN i_ END), i_ -> i_ IS NOT NULL)"
+
+    def without(self, a, at):
+        """All elements but that at a place, which can be null."""
+        return f"filter({a}, (x_, i_) -> {at} IS NULL OR i_ <> {at})"
+
+    def has(self, a, x):
+        return f"array_contains({a}, {x})"
+
+    def letter(self, x):
+        return f"rlike({x}, r'\\p{{L}}')"
+
     def split(self, x, by=" "):
         return f"split({x}, '{by}')"
 
@@ -170,7 +213,7 @@ class Spark(Dialect):
 
 
 class Duck(Dialect):
-    name, group = "duck", "\\1"
+    name, group, alpha = "duck", "\\1", ""
 
     def text(self, s):
         return "'" + s.replace("'", "''") + "'"
@@ -190,6 +233,34 @@ class Duck(Dialect):
     def fold(self, x):
         return f"strip_accents({x})"
 
+    def compose(self, x):
+        return x
+
+    def translit(self, x):
+        """The tables hold no letter of the nine scripts; literal rows test that path."""
+        return x
+
+    def lookup(self, table, key):
+        return f"(map {{{', '.join(f'{a!r}: {b!r}' for a, b in table.items())}}})[{key}]"
+
+    def last(self, a):
+        return f"list_last({a})"
+
+    def first(self, a):
+        return f"list_first({a})"
+
+    def places(self, a, v, body):
+        return f"list_filter(list_transform({a}, lambda {v}, i_: CASE WHEN {body} THEN i_ - 1 END), lambda i_: i_ IS NOT NULL)"
+
+    def without(self, a, at):
+        return f"list_filter({a}, lambda x_, i_: {at} IS NULL OR i_ - 1 <> {at})"
+
+    def has(self, a, x):
+        return f"list_contains({a}, {x})"
+
+    def letter(self, x):
+        return f"regexp_matches({x}, '[\\p{{L}}]')"
+
     def split(self, x, by=" "):
         return f"string_split({x}, '{by}')"
 

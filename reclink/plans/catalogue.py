@@ -6,10 +6,12 @@ keys. Joins are equi-joins on keys whose buckets are counted first; nothing is c
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reclink.functions import records
 from reclink.functions import vocabulary as V
 from reclink.functions.dialect import DUCK, SPARK
 from reclink.operators import scoring, similarity
@@ -76,6 +78,16 @@ def normalized_names(d):
       {d.join(d.map(d.words('core'), 'w', 'substring(w, 1, 1)'), '')} AS name_acronym, {d.join(d.sort(d.distinct(d.all('core', '[0-9]+'))))} AS name_nums FROM ({core}) x"""
 
 
+def normalized_records(d):
+    """The 24 fields of whole documents as records: the name goes to the first period, the address is all the rest,
+    and the language stands for a spelling of a country."""
+    cut = "strpos(text, '.')" if d.name == "duck" else "instr(text, '.')"
+    countries = "CASE lang WHEN 'en' THEN 'U.S.A.' WHEN 'fr' THEN 'République Française' WHEN 'de' THEN 'bharat' ELSE ' Peru ' END"
+    rec = f"""rec AS (SELECT concat('S', CAST(1 + doc_id % 3 AS VARCHAR(20)), '-', CAST(doc_id AS VARCHAR(20))) AS entity_id, {countries} AS country,
+      CASE WHEN {cut} > 0 THEN substring(text, 1, {cut} - 1) ELSE text END AS name, CASE WHEN {cut} > 0 THEN substring(text, {cut} + 1) ELSE '' END AS address FROM documents WHERE text IS NOT NULL)"""
+    return records.normalized(d, rec)
+
+
 def expanded_addresses(d):
     cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in V.ABBREVIATIONS.items())
     dropped = ", ".join(f"'{t}'" for t in V.STREET_WORDS + V.UNIT_WORDS)
@@ -331,16 +343,20 @@ def conversation_turns(d):
     return "SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS place, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations"
 
 
-PLANS = [clean_text, fold_accents, script_tags, script_distribution, phonetic_key, consonant_skeleton, sorted_tokens, number_tokens, acronym, domain_names, country_alias, legal_forms, normalized_names, expanded_addresses, trigram_df, rare_terms, bigram_jaccard_pairs, levenshtein_pairs, length_ratio_pairs, exact_key_join, capped_bucket_join, refined_bucket_join, bm25_topk, minhash_bands, lsh_vote_topk, cross_country_rescue, rank_fusion, route_counts, evidence_json, feature_vector_core, lr_score, threshold_filter, idf_cosine_pairs, macro_f05, country_slices, threshold_sweep, recall_report, candidate_percentiles, lift_report, trailing_component_mining, seeded_sample, stratified_negatives, split_70_15_15, semi_reduce, missing_truth_left_join, coverage_anti, zip_full_outer, set_operations, validator_violations, country_histogram, conversation_turns]
+PLANS = [clean_text, fold_accents, script_tags, script_distribution, phonetic_key, consonant_skeleton, sorted_tokens, number_tokens, acronym, domain_names, country_alias, legal_forms, normalized_names, normalized_records, expanded_addresses, trigram_df, rare_terms, bigram_jaccard_pairs, levenshtein_pairs, length_ratio_pairs, exact_key_join, capped_bucket_join, refined_bucket_join, bm25_topk, minhash_bands, lsh_vote_topk, cross_country_rescue, rank_fusion, route_counts, evidence_json, feature_vector_core, lr_score, threshold_filter, idf_cosine_pairs, macro_f05, country_slices, threshold_sweep, recall_report, candidate_percentiles, lift_report, trailing_component_mining, seeded_sample, stratified_negatives, split_70_15_15, semi_reduce, missing_truth_left_join, coverage_anti, zip_full_outer, set_operations, validator_violations, country_histogram, conversation_turns]
+
+
+def over(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
+    """Spark SQL over frames by name, after FROM or JOIN; the session's views are neither read nor replaced."""
+    named = re.sub(rf"\b(FROM|JOIN) ({'|'.join(frames)})\b", r"\1 \0\2\0", text.replace("{", "{{").replace("}", "}}"))
+    return spark.sql(re.sub("\0([a-z_]+)\0", r"{\1}", named), **frames)
 
 
 def run(plan, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run a plan's Spark form over the tables of a folder; only the tables it names are opened."""
+    """Run a plan's Spark form over the tables of a folder; only the tables it reads are opened."""
     text = plan(SPARK)
-    frames = {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in TABLES if t in text}
-    for t, df in frames.items():
-        df.createOrReplaceTempView(t)
-    return spark.sql(text)
+    read = set(re.findall(rf"\b(?:FROM|JOIN) ({'|'.join(TABLES)})\b", text))
+    return over(spark, text, **{t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in sorted(read)})
 
 
 QUERIES = {p.__name__: partial(run, p) for p in PLANS}
