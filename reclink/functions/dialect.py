@@ -199,6 +199,9 @@ class Spark(Dialect):
     def array(self, *xs):
         return f"array({', '.join(xs)})"
 
+    def struct(self, **xs):
+        return f"named_struct({', '.join(f"'{k}', {x}" for k, x in xs.items())})"
+
     def explode(self, a, alias, col):
         return f", LATERAL explode({a}) AS {alias}({col})"
 
@@ -297,6 +300,9 @@ class Duck(Dialect):
     def array(self, *xs):
         return f"[{', '.join(xs)}]"
 
+    def struct(self, **xs):
+        return f"{{{', '.join(f"'{k}': {x}" for k, x in xs.items())}}}"
+
     def explode(self, a, alias, col):
         return f", unnest({a}) AS {alias}({col})"
 

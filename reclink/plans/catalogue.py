@@ -15,6 +15,7 @@ from reclink.functions import records
 from reclink.functions import vocabulary as V
 from reclink.functions.dialect import DUCK, SPARK
 from reclink.operators import scoring, similarity
+from reclink.sources import scratch
 from reclink.streaming import resume
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -140,17 +141,27 @@ def refined_bucket_join(d):
 
 def bm25_topk(d):
     """Ten documents a benchmark item by BM25 (k1 1.2, b 0.75, tf 1) over the item's 16 rarest words."""
-    return f"""WITH t AS (SELECT doc_id, w AS term FROM documents{d.explode(d.distinct(d.words(d.clean('text'))), 'e', 'w')}), f AS (SELECT term, count(*) AS df FROM t GROUP BY term), l AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY doc_id),
+    return f"""WITH t AS (SELECT doc_id, w AS term FROM documents{d.explode(d.distinct(d.words(d.clean('text'))), 'e', 'w')}){stored('t')}, f AS (SELECT term, count(*) AS df FROM t GROUP BY term), l AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY doc_id),
       s AS (SELECT count(*) AS n, avg(dl) AS al FROM l), q AS (SELECT item_id, w AS term FROM benchmark{d.explode(d.distinct(d.words(d.clean('text'))), 'e', 'w')}),
       r AS (SELECT item_id, term, df FROM (SELECT item_id, q.term, df, row_number() OVER (PARTITION BY item_id ORDER BY df, q.term) AS k FROM q JOIN f ON q.term = f.term) x WHERE k <= 16),
       m AS (SELECT item_id, t.doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / al))), 6) AS score FROM r JOIN t ON r.term = t.term JOIN l ON l.doc_id = t.doc_id CROSS JOIN s GROUP BY item_id, t.doc_id)
       SELECT item_id, doc_id, score, CAST(k AS BIGINT) AS rk FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM m) y WHERE k <= 10"""
 
 
+def stored(name):
+    """A mark behind a table of a WITH list: Spark writes the table once and goes on from what it wrote."""
+    return f"/* stored: {name} */"
+
+
+def _signatures(d, bands=8):
+    mins = ", ".join(f"min({d.hash32(f"""concat('{i}:', g)""")}) AS m{i}" for i in range(2 * bands))
+    return f"{d.party()}, m AS (SELECT doc_id, source, country, {mins} FROM party{d.explode(d.grams(d.clean('name')), 't', 'g')} GROUP BY doc_id, source, country){stored('m')}"
+
+
 def _bands(d, bands=8):
-    mins = ", ".join(f"min({d.hash32(f'''concat('{i}:', g)''')}) AS m{i}" for i in range(2 * bands))
-    each = " UNION ALL ".join(f"SELECT doc_id, source, country, {i} AS band, m{2 * i} AS h1, m{2 * i + 1} AS h2 FROM m" for i in range(bands))
-    return f"{d.party()}, m AS (SELECT doc_id, source, country, {mins} FROM party{d.explode(d.grams(d.clean('name')), 't', 'g')} GROUP BY doc_id, source, country), b AS ({each})"
+    """b: one row for each record and band, from one pass over the signatures."""
+    each = d.array(*[d.struct(band=i, h1=f"m{2 * i}", h2=f"m{2 * i + 1}") for i in range(bands)])
+    return f"{_signatures(d, bands)}, b AS (SELECT doc_id, source, country, e.band AS band, e.h1 AS h1, e.h2 AS h2 FROM m{d.explode(each, 'x', 'e')})"
 
 
 def minhash_bands(d):
@@ -181,7 +192,7 @@ def _classes(d, of, most, bands=8):
     smallest ids of one can be among the ``most`` best of a query: x holds those, xb and yb the classes' keys."""
     class_ = f"PARTITION BY {of}, keys"
     keys = ", ".join(f"concat_ws(':', {i}, m{2 * i}, m{2 * i + 1})" for i in range(bands))
-    return f"""{_bands(d, bands).rsplit(", b AS (", 1)[0]}, c AS (SELECT doc_id, source, country, array({keys}) AS keys FROM m),
+    return f"""{_signatures(d, bands)}, c AS (SELECT doc_id, source, country, array({keys}) AS keys FROM m),
       x AS (SELECT doc_id AS rid, {of}, keys, rc, i FROM (SELECT *, row_number() OVER ({class_} ORDER BY doc_id) AS i, min(doc_id) OVER ({class_} ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rc FROM c WHERE source > 1) z WHERE i <= {most}),
       yc AS (SELECT country, keys, min(doc_id) AS qc FROM c WHERE source = 1 GROUP BY country, keys), y AS (SELECT doc_id AS q, c.country, qc FROM c JOIN yc ON yc.country = c.country AND yc.keys = c.keys WHERE source = 1),
       xb AS (SELECT {of}, rc, key FROM x{d.explode('keys', 'e', 'key')} WHERE i = 1), yb AS (SELECT country, qc, key FROM yc{d.explode('keys', 'e', 'key')})"""
@@ -239,7 +250,7 @@ def threshold_filter(d):
 
 def idf_cosine_pairs(d):
     return f"""WITH t AS (SELECT p_partkey AS id, w FROM part{d.explode(d.distinct(d.words('p_name')), 'e', 'w')}), f AS (SELECT w, ln((s.n + 1.0) / (count(*) + 1)) + 1 AS idf FROM t CROSS JOIN (SELECT count(*) AS n FROM part) s GROUP BY w, s.n),
-      v AS (SELECT id, t.w, idf FROM t JOIN f ON t.w = f.w), m AS (SELECT id, sqrt(sum(idf * idf)) AS norm FROM v GROUP BY id), p AS ({_pairs('1 AS one')})
+      v AS (SELECT id, t.w, idf FROM t JOIN f ON t.w = f.w){stored('v')}, m AS (SELECT id, sqrt(sum(idf * idf)) AS norm FROM v GROUP BY id), p AS ({_pairs('1 AS one')})
       SELECT p.a, p.b, round(sum(x.idf * y.idf) / max(m.norm * k.norm), 6) AS cosine FROM p JOIN v x ON x.id = p.a JOIN v y ON y.id = p.b AND y.w = x.w JOIN m ON m.id = p.a JOIN m k ON k.id = p.b GROUP BY p.a, p.b"""
 
 
@@ -263,12 +274,28 @@ def country_slices(d):
     return f"WITH {_judged(d)}, r AS ({_f05('g')}) SELECT slice, round(avg(f), 6) AS macro_f05, count(*) AS queries FROM r GROUP BY slice"
 
 
+def _sweep(d, steps):
+    """(i, score): macro F0.5 at the thresholds i / steps, for any grid in one pass over the pairs. A pair counts in
+    the cell of the highest threshold that it passes; a query's score changes only at its own cells, and the sum of
+    these changes from the top down to a threshold is the score there."""
+    return f"""{_judged(d)}, p AS (SELECT g.q, CAST(floor(g.s * {steps} + 0.000001) AS BIGINT) AS i, count(*) AS k, count(t.c) AS h FROM g LEFT JOIN t ON t.q = g.q AND t.c = g.c GROUP BY 1, 2),
+      r AS (SELECT q, i, sum(k) OVER (PARTITION BY q ORDER BY i DESC) AS k, sum(h) OVER (PARTITION BY q ORDER BY i DESC) AS h FROM p WHERE i > 0),
+      f AS (SELECT r.q, i, CASE WHEN n IS NULL THEN 0.0 ELSE CAST(5 * h AS DOUBLE) / (n + 4 * k) END AS f, CASE WHEN n IS NULL THEN 1.0 ELSE 0.0 END AS f0 FROM r LEFT JOIN nt ON nt.q = r.q),
+      c AS (SELECT i, CAST(f AS DOUBLE) - coalesce(lag(CAST(f AS DOUBLE)) OVER (PARTITION BY q ORDER BY i DESC), CAST(f0 AS DOUBLE)) AS change FROM f),
+      u AS (SELECT i, sum(change) AS change FROM c GROUP BY i),
+      e AS (SELECT count(*) AS m, sum(CASE WHEN nt.q IS NULL THEN 1 ELSE 0 END) AS singles FROM o LEFT JOIN nt ON nt.q = o.q),
+      w AS (SELECT i FROM (SELECT 1 AS one) z{d.explode(d.span('1', str(steps)), 'y', 'i')}),
+      grid AS (SELECT w.i, sum(coalesce(change, 0.0)) OVER (ORDER BY w.i DESC) AS gain, 1 AS one FROM w LEFT JOIN u ON u.i = w.i),
+      curve AS (SELECT i, round(CAST((singles + gain) AS DOUBLE) / m, 9) AS score FROM grid JOIN (SELECT 1 AS one, m, singles FROM e) e1 ON e1.one = grid.one)"""
+
+
 def threshold_sweep(d):
-    """Macro F0.5 over a grid of thresholds: one pass over the pairs, each repeated for the grid values it passes."""
-    grid = d.map(d.span("1", "20"), "i", "round(i * 0.05, 2)")
-    return f"""WITH {_judged(d)}, th AS (SELECT t0 FROM (SELECT 1 AS one) z{d.explode(grid, 'e', 't0')}), p AS (SELECT g.q, th.t0, count(*) AS k, count(t.c) AS h FROM g JOIN th ON g.s >= th.t0 LEFT JOIN t ON t.q = g.q AND t.c = g.c GROUP BY g.q, th.t0),
-      s AS (SELECT p.t0, sum(CAST(5 * h AS DOUBLE) / (coalesce(n, 0) + 4 * k)) AS f, sum(CASE WHEN n IS NULL THEN 1 ELSE 0 END) AS wrong FROM p LEFT JOIN nt ON nt.q = p.q GROUP BY p.t0), e AS (SELECT count(*) AS m, sum(CASE WHEN nt.q IS NULL THEN 1 ELSE 0 END) AS singles FROM o LEFT JOIN nt ON nt.q = o.q)
-      SELECT CAST(s.t0 AS DOUBLE) AS threshold, round(CAST((f + singles - wrong) AS DOUBLE) / m, 6) AS macro_f05 FROM s CROSS JOIN e"""
+    return f"WITH {_sweep(d, 20)} SELECT round(CAST(i AS DOUBLE) / 20, 2) AS threshold, round(score, 6) AS macro_f05 FROM curve"
+
+
+def threshold_choice(d):
+    """The threshold of the best macro F0.5 among 200, of equal ones the highest."""
+    return f"WITH {_sweep(d, 200)} SELECT round(CAST(i AS DOUBLE) / 200, 3) AS threshold, round(score, 6) AS macro_f05 FROM (SELECT i, score, row_number() OVER (ORDER BY score DESC, i DESC) AS k FROM curve) x WHERE k = 1"
 
 
 def recall_report(d):
@@ -318,7 +345,7 @@ def missing_truth_left_join(d):
 
 
 def coverage_anti(d):
-    return "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+    return "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"
 
 
 def zip_full_outer(d):
@@ -343,20 +370,30 @@ def conversation_turns(d):
     return "SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS place, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations"
 
 
-PLANS = [clean_text, fold_accents, script_tags, script_distribution, phonetic_key, consonant_skeleton, sorted_tokens, number_tokens, acronym, domain_names, country_alias, legal_forms, normalized_names, normalized_records, expanded_addresses, trigram_df, rare_terms, bigram_jaccard_pairs, levenshtein_pairs, length_ratio_pairs, exact_key_join, capped_bucket_join, refined_bucket_join, bm25_topk, minhash_bands, lsh_vote_topk, cross_country_rescue, rank_fusion, route_counts, evidence_json, feature_vector_core, lr_score, threshold_filter, idf_cosine_pairs, macro_f05, country_slices, threshold_sweep, recall_report, candidate_percentiles, lift_report, trailing_component_mining, seeded_sample, stratified_negatives, split_70_15_15, semi_reduce, missing_truth_left_join, coverage_anti, zip_full_outer, set_operations, validator_violations, country_histogram, conversation_turns]
+PLANS = [clean_text, fold_accents, script_tags, script_distribution, phonetic_key, consonant_skeleton, sorted_tokens, number_tokens, acronym, domain_names, country_alias, legal_forms, normalized_names, normalized_records, expanded_addresses, trigram_df, rare_terms, bigram_jaccard_pairs, levenshtein_pairs, length_ratio_pairs, exact_key_join, capped_bucket_join, refined_bucket_join, bm25_topk, minhash_bands, lsh_vote_topk, cross_country_rescue, rank_fusion, route_counts, evidence_json, feature_vector_core, lr_score, threshold_filter, idf_cosine_pairs, macro_f05, country_slices, threshold_sweep, threshold_choice, recall_report, candidate_percentiles, lift_report, trailing_component_mining, seeded_sample, stratified_negatives, split_70_15_15, semi_reduce, missing_truth_left_join, coverage_anti, zip_full_outer, set_operations, validator_violations, country_histogram, conversation_turns]
 
 
 def over(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     """Spark SQL over frames by name, after FROM or JOIN; the session's views are neither read nor replaced."""
-    named = re.sub(rf"\b(FROM|JOIN) ({'|'.join(frames)})\b", r"\1 \0\2\0", text.replace("{", "{{").replace("}", "}}"))
-    return spark.sql(re.sub("\0([a-z_]+)\0", r"{\1}", named), **frames)
+    text = text.replace("{", "{{").replace("}", "}}")
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(frames)})\b(?= (?:AS )?[a-z])", r"\1 {\2}", text)  # an alias follows
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(frames)})\b", r"\1 {\2} AS \2", text), **frames)
 
 
 def run(plan, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run a plan's Spark form over the tables of a folder; only the tables it reads are opened."""
-    text = plan(SPARK)
-    read = set(re.findall(rf"\b(?:FROM|JOIN) ({'|'.join(TABLES)})\b", text))
-    return over(spark, text, **{t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in sorted(read)})
+    *steps, text = re.split(r"/\* stored: ([a-z]+) \*/,?", plan(SPARK))
+    frames = {}
+
+    def answer(sql):
+        for t in set(re.findall(rf"\b(?:FROM|JOIN) ({'|'.join(TABLES)})\b", sql)):
+            frames.setdefault(t, spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet"))
+        return over(spark, sql, **frames)
+
+    for before, name in zip(steps[::2], steps[1::2], strict=True):
+        frames[name] = scratch.stored(answer(f"{before} SELECT * FROM {name}"), f"plan-{plan.__name__}")
+        text = f"WITH {text}"
+    return answer(text)
 
 
 QUERIES = {p.__name__: partial(run, p) for p in PLANS}

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="reclink-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from reclink.sources import scratch
 
 
 def drain(source: DataFrame, out: str, state: str) -> None:
@@ -26,7 +20,7 @@ def drain(source: DataFrame, out: str, state: str) -> None:
 
 def event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed into batches, twice (the second run finds nothing new), then added up."""
-    folder = _folder(spark)
+    folder = scratch.folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # One table of the folder: the stream's files are named by a glob, as a stream reads folders.
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("event_type", "value")
