@@ -15,6 +15,7 @@ from reclink.functions import records
 from reclink.functions import vocabulary as V
 from reclink.functions.dialect import DUCK, SPARK
 from reclink.operators import scoring, similarity
+from reclink.plans import features
 from reclink.sources import scratch
 from reclink.streaming import resume
 
@@ -238,6 +239,17 @@ def feature_vector_core(d):
     return f"SELECT a, b, CAST(f_equal AS DOUBLE) AS f_equal, {d.jaccard('x', 'y')} AS f_words, {d.jaccard('p', 'r')} AS f_bigrams, round(CAST({d.size(d.intersect('x', 'y'))} AS DOUBLE) / least({d.size('x')}, {d.size('y')}), 6) AS f_overlap, f_length FROM ({_pairs(cols)}) z"
 
 
+def exact_routes(d):
+    """Pairs by three exact name fields, with refinement of buckets over the limit (small here, so that there are some)."""
+    return f"WITH {features.party_records(d, stored)}, {features.exact_routes(d, 2)} SELECT q, rid, route FROM x"
+
+
+def feature_vector(d):
+    """The 107 comparison features of all pairs of the exact routes."""
+    columns = ", ".join(f"round(f{i}, 6) AS f{i}" for i in range(features.WIDTH))
+    return f"WITH {features.party_records(d, stored)}, {features.exact_routes(d, 100)}, {features.evidence(d)}, {features.paired()}, {features.features(d, 'q, rid, ')} SELECT q, rid, {columns} FROM fd"
+
+
 def lr_score(d):
     """A literal logistic model over three of the features, with the sum clipped at 35."""
     return f"SELECT a, b, round(1 / (1 + exp(-least(35.0, greatest(-35.0, 4.0 * f_words + 3.0 * f_bigrams + 2.0 * f_length - 5.0)))), 6) AS score FROM ({feature_vector_core(d)}) s"
@@ -370,7 +382,7 @@ def conversation_turns(d):
     return "SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS place, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations"
 
 
-PLANS = [clean_text, fold_accents, script_tags, script_distribution, phonetic_key, consonant_skeleton, sorted_tokens, number_tokens, acronym, domain_names, country_alias, legal_forms, normalized_names, normalized_records, expanded_addresses, trigram_df, rare_terms, bigram_jaccard_pairs, levenshtein_pairs, length_ratio_pairs, exact_key_join, capped_bucket_join, refined_bucket_join, bm25_topk, minhash_bands, lsh_vote_topk, cross_country_rescue, rank_fusion, route_counts, evidence_json, feature_vector_core, lr_score, threshold_filter, idf_cosine_pairs, macro_f05, country_slices, threshold_sweep, threshold_choice, recall_report, candidate_percentiles, lift_report, trailing_component_mining, seeded_sample, stratified_negatives, split_70_15_15, semi_reduce, missing_truth_left_join, coverage_anti, zip_full_outer, set_operations, validator_violations, country_histogram, conversation_turns]
+PLANS = [clean_text, fold_accents, script_tags, script_distribution, phonetic_key, consonant_skeleton, sorted_tokens, number_tokens, acronym, domain_names, country_alias, legal_forms, normalized_names, normalized_records, expanded_addresses, trigram_df, rare_terms, bigram_jaccard_pairs, levenshtein_pairs, length_ratio_pairs, exact_key_join, capped_bucket_join, refined_bucket_join, bm25_topk, minhash_bands, lsh_vote_topk, cross_country_rescue, rank_fusion, route_counts, evidence_json, exact_routes, feature_vector, feature_vector_core, lr_score, threshold_filter, idf_cosine_pairs, macro_f05, country_slices, threshold_sweep, threshold_choice, recall_report, candidate_percentiles, lift_report, trailing_component_mining, seeded_sample, stratified_negatives, split_70_15_15, semi_reduce, missing_truth_left_join, coverage_anti, zip_full_outer, set_operations, validator_violations, country_histogram, conversation_turns]
 
 
 def over(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
