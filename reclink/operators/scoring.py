@@ -1,4 +1,8 @@
-"""Pair scorers trained with Spark ML: logistic regression, and boosted trees behind a cheap gate."""
+"""Pair scorers trained with Spark ML: logistic regression, and boosted trees behind a cheap gate.
+
+Pairs are those of the exact routes over the first 18 words of documents, with their 107 features. The label is whether
+the whole documents share half of their words, which the features do not see.
+"""
 
 from __future__ import annotations
 
@@ -6,32 +10,55 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .similarity import part_pairs
+from reclink.operators import linkage
+from reclink.sources import scratch
+
+FULL = [f"f{i}" for i in range(107)]
+CHEAP = ["f0", "f3", "f4", "f7"]
+SHARES = {"fit": 70, "calibrate": 85, "audit": 100}
+
+
+def part_of(q: Column) -> Column:
+    """fit, calibrate or audit: all pairs of a query are in one part."""
+    h = F.pmod(F.crc32(q.cast("binary")), F.lit(100))
+    return F.when(h < SHARES["fit"], "fit").when(h < SHARES["calibrate"], "calibrate").otherwise("audit")
+
+
+def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q, rid, f0 .., label, part), stored, as several passes read it."""
+    from reclink.plans import catalogue
 
-COLUMNS = ["words", "edit", "length", "price"]
+    words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select(F.concat(F.lit("S"), F.lit(1) + F.col("doc_id") % 3, F.lit("-"), F.col("doc_id")).alias("id"), words.alias("w"))
+    pairs = catalogue.run(catalogue.feature_vector, spark, sf_dir)
+    both = pairs.join(docs.select(F.col("id").alias("q"), F.col("w").alias("a")), "q").join(docs.select(F.col("id").alias("rid"), F.col("w").alias("b")), "rid")
+    label = (2 * F.size(F.array_intersect("a", "b")) >= F.size(F.array_union("a", "b"))).cast("double").alias("label")
+    return scratch.stored(both.select("q", "rid", *FULL, label, part_of(F.col("q")).alias("part")), "labelled-pairs")
 
 
-def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of part pairs; the label is whether their retail prices are within a tenth."""
-    price = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice")
-    pairs = part_pairs(spark, sf_dir).join(price.toDF("a", "pa"), "a").join(price.toDF("b", "pb"), "b")
-    x, y = F.split("x", " "), F.split("y", " ")
-    return pairs.select("a", "b", (F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).alias("words"), (1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"))).alias("edit"), (F.least(F.length("x"), F.length("y")) / F.greatest(F.length("x"), F.length("y"))).alias("length"), (F.least("pa", "pb") / F.greatest("pa", "pb")).alias("price"), (F.least("pa", "pb") >= 0.9 * F.greatest("pa", "pb")).cast("double").alias("label"))
+def fitted(pairs: DataFrame, columns: list[str], classifier):
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), classifier]).fit(pairs.where("part = 'fit'"))
 
 
-def scored(pairs: DataFrame, classifier) -> DataFrame:
-    fit = pairs.where(F.pmod(F.crc32(F.col("a").cast("string").cast("binary")), F.lit(100)) < 70)
-    model = Pipeline(stages=[VectorAssembler(inputCols=COLUMNS, outputCol="features"), classifier]).fit(fit)
-    return model.transform(pairs).select("a", "b", F.round(F.get(vector_to_array("probability"), F.lit(1)), 4).alias("score"))
+def scored(pairs: DataFrame, model, name: str = "score") -> DataFrame:
+    return model.transform(pairs).withColumn(name, F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def trained_lr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(pair_features(spark, sf_dir), LogisticRegression(standardization=True, regParam=2e-4))
+    pairs = labelled_pairs(spark, sf_dir)
+    return scored(pairs, fitted(pairs, FULL, LogisticRegression(standardization=True, regParam=2e-4, maxIter=60))).select("q", "rid", "part", "label", F.round("score", 4).alias("score"))
 
 
 def trained_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cascade: only pairs that the cheap gate lets through reach the trees."""
-    return scored(pair_features(spark, sf_dir).where(F.col("edit") >= 0.2), GBTClassifier(maxIter=5, maxDepth=3, seed=41))
+    """The cascade: a model of four features gives each pair a gate value; the gate is the largest that loses nothing on
+    the calibration part, and only pairs that pass it reach the trees over all features."""
+    pairs = labelled_pairs(spark, sf_dir)
+    cheap = fitted(pairs, CHEAP, LogisticRegression(regParam=1e-3))
+    trees = fitted(pairs, FULL, GBTClassifier(maxIter=8, maxDepth=3, seed=81))
+    gated = scored(pairs, cheap, "gate")
+    judged = scored(gated.where("part = 'calibrate'"), trees, "full")
+    gate, _ = linkage.choose_gate(judged, 0.5)
+    return linkage.cascade(gated, gate, lambda rest: scored(rest, trees)).select("q", "rid", "part", "label", F.round("score", 4).alias("score"))
