@@ -210,6 +210,8 @@ def fitted(rows: pa.Table, counts: dict[int, int], clean: int) -> Model:
     c, y = Chains(data, off), toxic[~aside]
     model = Model(*fit_chain(c, token_labels(c, y), clean), None)
     del c, data, off
+    if len(set(toxic[aside])) < 2:  # too few rows to keep any aside
+        aside = np.ones(len(toxic), bool)
     y = toxic[aside]
     parts = []
     for batch in pa.Table.from_arrays([text.filter(pa.array(aside))], names=["text"]).to_batches(max_chunksize=200):
@@ -298,4 +300,5 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose score is below 0.7. Labels are matched to the documents given."""
     model = train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return tag(docs, model).where(F.col("toxic_score") < LINK).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")  # a struct, as docs may have any columns
+    return tag(rows, model).where(F.col("toxic_score") < LINK).select("row.*")
