@@ -283,10 +283,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """The documents without near-duplicates: the one of smallest doc_id of each group stays, once."""
     found = stored(near_duplicates(docs, doc_id, text, **kw), "near-result")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
-    left = docs.join(gone, doc_id, "left_anti")
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))  # a struct, as docs may have any columns
+    left = rows.join(gone, "doc_id", "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.where(F.col(doc_id).isNull()).unionByName(left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))
+    if not repeated.isEmpty():
+        left = left.where(F.col("doc_id").isNull()).unionByName(left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    return left.select("row.*")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +297,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup(docs, **STAGE).select(*docs.columns)
+    return dedup(docs, **STAGE)
 
 
 ORACLE = r"""
