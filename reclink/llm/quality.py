@@ -2,8 +2,8 @@
 
 Statistics of whole texts (lengths, character classes, repetition of words and lines) are standardised and
 mapped to ``FEATURES`` cosines, which approximate a Gaussian kernel. Each task sums its rows' normal
-equations, the sums are added in a second, smaller round of tasks, and ridge weights are solved from the one
-matrix that is left. Isotonic regression on rows kept from the fit turns the ridge output into a probability.
+equations, the sums are added in two smaller rounds of tasks, and ridge weights are solved from the matrix that is
+left. Isotonic regression on rows kept from the fit turns the ridge output into a probability.
 
 Bounds: statistics and normal equations use all labelled rows that may be learnt from. Calibration uses at
 most ``CALIBRATION`` of the rows kept aside, those of the smallest hash.
@@ -160,8 +160,11 @@ def train(x: DataFrame, labels: DataFrame, learn: Column) -> Model:
                 n += m.as_py()
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["a", "n"])
 
-    parts = rows.where(fold != 0).select("x", "y").mapInArrow(sums, "a binary, n long").repartition(4).mapInArrow(added, "a binary, n long").collect()  # 4 matrices
-    a = sum(np.frombuffer(p["a"], float).reshape(FEATURES + 2, -1) for p in parts)
+    parts = rows.where(fold != 0).select("x", "y").mapInArrow(sums, "a binary, n long")
+    for left in (64, 4):  # sums of sums: no task adds more than a 64th of the matrices of all tasks
+        parts = parts.repartition(left).mapInArrow(added, "a binary, n long").where("n > 0")
+    parts = parts.collect()  # 4 matrices
+    a = sum((np.frombuffer(p["a"], float).reshape(FEATURES + 2, -1) for p in parts), np.zeros((FEATURES + 2, FEATURES + 2)))
     n = sum(p["n"] for p in parts)
     lhs = a[:-1, :-1] + RIDGE * n * np.eye(FEATURES + 1)
     lhs[0, 0] -= RIDGE * n
