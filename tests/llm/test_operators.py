@@ -258,6 +258,170 @@ def test_toxicity_and_quality_learn(spark):
     assert len({r["score"] for r in quality.scored(x, quality.train(x, none, F.lit(True))).collect()}) == 1
 
 
+def test_quality_equals_one_matrix(spark):
+    """Features, ridge weights, pools and scores against plain NumPy over all rows at once; statistics against Python."""
+    rng = random.Random(9)
+    words_ = ["good", "text", "is", "fine", "$$$", "BUY", "now!", "é7"]
+    rows = [(i, "\n".join(" ".join(rng.choice(words_[: 4 + 4 * (i % 3 == 0)]) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 4)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)], "doc_id long, quality int")
+    x = quality.measured(docs)
+    stats = {r["doc_id"]: np.array(r["x"]) for r in x.collect()}
+    t = dict(rows)[3]
+    w = t.split()
+    assert stats[3][0] == pytest.approx(np.log1p(len(t.encode()))) and stats[3][1] == pytest.approx(np.log1p(len(w)))
+    assert stats[3][10] == pytest.approx(len(set(w)) / len(w)) and stats[3][11] == pytest.approx(max(w.count(v) for v in w) / len(w))
+    assert stats[3][13] == pytest.approx(len(set(t.split("\n"))) / len(t.split("\n")))
+    model = quality.train(x, labels, F.lit(True))
+    fold = {r["doc_id"]: r["f"] for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("f")).collect()}
+    every = np.array([stats[i] for i in range(300)])
+    assert np.allclose(model.mean, every.mean(axis=0)) and np.allclose(model.scale, np.maximum(every.std(axis=0), 1e-3))
+    fit = [i for i in range(300) if fold[i] != 0]
+    z = np.hstack([np.ones((len(fit), 1)), np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((every[fit] - model.mean) / model.scale, -8, 8) @ model.w + model.b)])
+    y = np.array([i % 3 != 0 for i in fit], float)
+    ridge = quality.RIDGE * len(fit) * np.diag([0.0] + [1.0] * quality.FEATURES) + 1e-9 * np.eye(quality.FEATURES + 1)
+    assert np.allclose(model.beta, np.linalg.solve(z.T @ z + ridge, z.T @ y), atol=1e-6)
+    # The kernel: inner products of the features are near exp(-gamma * squared distance).
+    u = np.random.default_rng(1).normal(size=(40, quality.STATS)) * 0.3 * model.scale + model.mean
+    f = model.features(u)[:, 1:]
+    v = (u - model.mean) / model.scale
+    assert np.abs(f @ f.T - np.exp(-quality.GAMMA * ((v[:, None] - v[None]) ** 2).sum(axis=2))).max() < 0.35
+
+
+def test_isotonic_is_the_best_rising_fit():
+    rng = np.random.default_rng(2)
+    score, y = np.arange(12.0), rng.integers(0, 2, 12).astype(float)
+    s, v = quality.isotonic(score, y)
+    assert (np.diff(s) > 0).all() and (np.diff(v) > -1e-12).all() or len(s) == 1
+    best = [max(min(y[a : b + 1].mean() for b in range(i, 12)) for a in range(i + 1)) for i in range(12)]  # minimax form
+    assert len(set(np.round(best, 9))) == len(s)
+
+
+def test_expectation_maximisation_finds_the_planted_reliabilities():
+    """Votes drawn with known reliabilities: the posteriors tell true from false candidates, better than the majority."""
+    rng = random.Random(4)
+    accuracy, counts, truth = (0.95, 0.9, 0.6, 0.55, 0.7), {}, {}
+    for _ in range(6000):
+        real = rng.random() < 0.4
+        vs = tuple(0 if rng.random() < 0.2 else (1 if (rng.random() < a) == real else -1) for a in accuracy)
+        counts[0, vs] = counts.get((0, vs), 0) + 1
+        truth[vs] = truth.get(vs, 0) + (1 if real else -1)
+    post = pii.expectation_maximisation(sorted(counts.items()))
+    right = lambda rule: sum(n for (_, vs), n in counts.items() if rule(vs) == (truth[vs] > 0))
+    assert right(lambda vs: post[0, vs] > 0.5) > right(lambda vs: sum(vs) > 0) and right(lambda vs: post[0, vs] > 0.5) > 0.9 * 6000
+    # One step by hand: the likelihoods of one round are those of weighted counts, so equal patterns have equal posteriors.
+    weights = pii.train_classifier([(pii.features(0, vs, 0), post[0, vs], n) for (_, vs), n in sorted(counts.items())])
+    assert weights["check1"] > 0 > weights["check-1"] and weights["check1"] > abs(weights.get("gazetteer1", 0.0))
+
+
+def test_toxic_gradient_is_observed_less_expected():
+    """The chain's fit raises the likelihood that enumeration gives to the labels."""
+    data, off = common.text_bytes(pa.array(["bad word here. fine words here", "bad thing. fine thing", "fine here"] * 8))
+    c = toxicity.Chains(data, off)
+    words_ = [data[a:b].tobytes().decode() for a, b in zip(c.w.start, c.w.end, strict=True)]
+    y = np.array([x.lower() == "bad" for x in words_])
+    w, t = toxicity.fit_chain(c, y, 100, epochs=30)
+    p = toxicity.Model(w, t, None).marginals(c)
+    assert p[y].min() > 0.6 and p[~y].max() < 0.4
+
+
+HARD = SCHEMA + ", row string, salt int, name string, hit int, c long, key string, toxic_score double, pii_spans string, `a.b` int"
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and columns named like what the operators make."""
+    more = ("r", 1, "n", 2, 3, "k", 0.5, "s", 4)
+    long = "long words " * 30_000
+    rows = [(1, "Some plain words, mail a.b@c.example.com now.", "en", "s", 45, *more)] * 3
+    rows += [(2, None, None, None, None, *[None] * 9), (None, "no id " * 30, "en", None, 180, *more), (None, None, None, None, None, *[None] * 9), (3, "", "de", "s", 0, *more), (4, " \t\n", "fr", "s", 3, *more)]
+    rows += [(5, long, "en", "s", len(long), *more), (6, long, "en", "t", len(long), *more), (1, "Another text under a repeated id, 10.0.0.1 inside.", "en", "s", 50, *more)]
+    return spark.createDataFrame(rows, HARD).repartition(3)
+
+
+def test_stages_on_hard_rows(spark, hard):
+    """Each stage keeps the columns, defines what becomes of every row, and stands empty tables."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, hard, SF)
+        assert out.columns == hard.columns and stage(spark, hard.where("false"), SF).count() == 0, name
+        kept = sorted((tuple(r) for r in out.collect()), key=repr)
+        given = sorted((tuple(r) for r in hard.collect()), key=repr)
+        if name == "near_dedup":
+            ids = [r[0] for r in kept]
+            assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5] and ids.count(None) == 2
+        elif name == "pii":
+            texts = {r[1] for r in kept}
+            assert len(kept) == len(given) and "Some plain words, mail [EMAIL] now." in texts and "Another text under a repeated id, [IP] inside." in texts
+            assert all(r[4] == (None if r[1] is None else len(r[1])) for r in kept if r[1] is not None)
+        else:
+            assert kept == given, name
+    out = corpus_pipeline.STAGES[-1][1](spark, hard, SF)
+    assert out.columns == [*hard.columns, "piece_ids", "lossless"] and out.where("not lossless").count() == 0 and out.count() == hard.count()
+
+
+def test_decontamination_stage_judges_each_text(spark, tmp_path):
+    """Rows without an id and rows of one id are judged by their own texts."""
+    leak = " ".join(f"q{i}" for i in range(12))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "x " + leak), (1, "clean"), (None, leak), (None, "also clean"), (2, None)], "doc_id long, text string")
+    got = decontaminate.decontamination_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, "clean"), (None, "also clean"), (2, None)], key=repr)
+
+
+def test_operators_on_hard_rows(spark, hard):
+    """Every operator returns its row for each row (or leaves out what its docstring says), also of an empty table."""
+    n, none = hard.count(), hard.where("false")
+    near = near_dedup.near_duplicates(hard)
+    assert near.count() == n and near_dedup.near_duplicates(none).count() == 0
+    by_id = {r["doc_id"]: r["component_id"] for r in near.collect()}
+    assert by_id[5] == by_id[6] == 5 and by_id[2] == 2
+    index = decontaminate.build_index(hard)
+    bench = spark.createDataFrame([(1, "long words long words long words long words long words long words")], "item_id long, text string")
+    assert decontaminate.search(index, bench).count() == n and decontaminate.search(decontaminate.build_index(none), bench).count() == 0
+    assert decontaminate.search(index, bench.where("false")).where("n_hit > 0").count() == 0
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.search(index, bench).collect()}[6] == 60_000
+    assert {r["doc_id"] for r in substring_dedup.remove_repeats(hard).collect()} == {5, 6} and substring_dedup.remove_repeats(none).count() == 0
+    assert pii.find(hard).count() == n and pii.find(none).count() == 0
+    x = quality.measured(hard)
+    assert x.count() == n and quality.measured(none).count() == 0
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    assert quality.scored(x, quality.train(x, labels, F.lit(True))).count() == n
+    assert toxicity.tag(hard, toxicity.train(hard, labels, F.lit(True))).count() == n
+    assert pieces.encode(hard, pieces.Vocabulary.load()).count() == n
+    pages = hard.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), "row", "hit", "key")
+    assert html_text.extract(pages).count() == n and html_text.extract(pages.where("false")).count() == 0
+    clash = pages.withColumn("host", F.lit("h")).withColumn("path", F.lit("p")).withColumn("c", F.lit(1))
+    judged = urls.judge(clash, urls.listed_urls(spark))
+    assert judged.count() == n and {r["verdict"] for r in judged.collect()} == {"allow"} and urls.judge(clash.where("false"), urls.listed_urls(spark)).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, ids string")
+    assert topk.top_k(vectors, vectors, 5).count() == 0
+
+
+def test_listed_urls_decide(spark):
+    """The registered list: 159,984 URLs; variants of a listed URL are blocked, near misses are not, and copies are each
+    judged."""
+    listed = urls.listed_urls(spark)
+    assert listed.count() == 159_984 and listed.distinct().count() == 159_984
+    given = {"http://casino-win.example.com/en/1?utm_source=feed": "block", "https://m.casino-win.example.com/en/1/#top": "block", "https://www.casino-win.example.com/en/1": "block", "https://casino-win.example.com/en/3": "allow", "https://casino-win.example.com/en/1.html": "allow", "https://x.casino-win.example.com/en/1": "allow", "https://blog.spam-farm.example.org/es/9998": "block", "https://spam-farm.example.org/es/10000": "allow"}
+    rows = [(i, u) for i, u in enumerate(given)] + [(100 + i, "https://casino-win.example.com/en/2") for i in range(500)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), listed).collect()}
+    assert [got[i] for i in range(len(given))] == list(given.values()) and {got[100 + i] for i in range(500)} == {"block"}
+
+
+def test_scratch_folders_are_deleted(spark):
+    path = common.stored(spark.range(3), "gone").inputFiles()[0]
+    import os
+
+    assert os.path.exists(path.removeprefix("file://")) and common.clear_scratch(spark) > 0 and not os.path.exists(path.removeprefix("file://"))
+
+
+def test_op1_query_equals_its_operator(spark):
+    got = {r["doc_id"]: (r["n_pieces"], r["ids"], r["lossless"]) for r in pieces.op1_pieces(spark, SF).collect()}
+    docs = common.table(spark, SF, "documents")
+    back = {r["doc_id"]: r for r in pieces.encode(docs, pieces.Vocabulary.load(), seed=11).collect()}
+    assert len(got) == docs.count() and all(got[i] == (len(r["piece_ids"]), r["piece_ids"], True) for i, r in back.items() if r["text"] is not None)
+
+
 def test_held_out_accuracy(spark):
     for name, query, label in (("toxic", toxicity.op3_toxicity, "toxic"), ("quality", quality.op7_quality, "quality")):
         p = query(spark, "/root/testdata/sf0.1").where("held_out").join(common.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").toPandas()
@@ -381,6 +545,12 @@ def test_pipeline(spark):
     assert len(ids) == len(set(ids)) and 0 < len(ids) < docs.count()
     clean = [i for i, t in labels.items() if t == 0]
     kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id")
+    found = {r["doc_id"]: r for r in out.collect()}
+    masked = pii.redact(pii.find(docs.where(F.col("doc_id").isin(ids)))).select("doc_id", "text")
+    assert {r["doc_id"]: r["lossless"] for r in out.collect()} == {i: None if found[i]["text"] is None else True for i in ids}
+    back = {r["doc_id"]: r["text"] for r in pieces.decode(out.drop("text"), pieces.Vocabulary.load()).collect()}
+    assert back == {i: r["text"] for i, r in found.items()} and sum("[EMAIL]" in (t or "") for t in back.values()) > 0
+    assert sum(r["text"] == back[r["doc_id"]] for r in masked.collect()) > 0.95 * len(ids)
     assert {i for i in clean if i in {r["doc_id"] for r in kept.collect()}} - set(ids) <= {r["doc_id"] for r in decontaminate.op4_decontamination(spark, SF).where("contaminated").collect()} | set()
 
 
