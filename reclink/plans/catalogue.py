@@ -15,7 +15,7 @@ from reclink.functions import records
 from reclink.functions import vocabulary as V
 from reclink.functions.dialect import DUCK, SPARK
 from reclink.operators import scoring, similarity
-from reclink.plans import features
+from reclink.plans import counted, features
 from reclink.sources import scratch
 from reclink.streaming import resume
 
@@ -232,11 +232,15 @@ def evidence_json(d):
     return f"SELECT event_id, {d.json('props', 'page')} AS page, {d.json('props', 'ref')} AS ref FROM events"
 
 
-def feature_vector_core(d):
+def _core(d, pairs):
     w = lambda s: d.distinct(d.words(f"{s}.p_name"))
     cols = f"""CASE WHEN a.p_name <> '' AND a.p_name = b.p_name THEN 1.0 ELSE 0.0 END AS f_equal, {w('a')} AS x, {w('b')} AS y, {d.bigrams("replace(a.p_name, ' ', '')")} AS p, {d.bigrams("replace(b.p_name, ' ', '')")} AS r,
       round(CAST(least(length(replace(a.p_name, ' ', '')), length(replace(b.p_name, ' ', ''))) AS DOUBLE) / greatest(length(replace(a.p_name, ' ', '')), length(replace(b.p_name, ' ', ''))), 6) AS f_length"""
-    return f"SELECT a, b, CAST(f_equal AS DOUBLE) AS f_equal, {d.jaccard('x', 'y')} AS f_words, {d.jaccard('p', 'r')} AS f_bigrams, round(CAST({d.size(d.intersect('x', 'y'))} AS DOUBLE) / least({d.size('x')}, {d.size('y')}), 6) AS f_overlap, f_length FROM ({_pairs(cols)}) z"
+    return f"SELECT a, b, CAST(f_equal AS DOUBLE) AS f_equal, {d.jaccard('x', 'y')} AS f_words, {d.jaccard('p', 'r')} AS f_bigrams, round(CAST({d.size(d.intersect('x', 'y'))} AS DOUBLE) / least({d.size('x')}, {d.size('y')}), 6) AS f_overlap, f_length FROM ({pairs(cols)}) z"
+
+
+def feature_vector_core(d):
+    return _core(d, _pairs)
 
 
 def exact_routes(d):
@@ -250,9 +254,13 @@ def feature_vector(d):
     return f"WITH {features.party_records(d, stored)}, {features.exact_routes(d, 100)}, {features.evidence(d)}, {features.paired()}, {features.features(d, 'q, rid, ')} SELECT q, rid, {columns} FROM fd"
 
 
+def _score(core):
+    return f"SELECT a, b, round(1 / (1 + exp(-least(35.0, greatest(-35.0, 4.0 * f_words + 3.0 * f_bigrams + 2.0 * f_length - 5.0)))), 6) AS score FROM ({core}) s"
+
+
 def lr_score(d):
     """A literal logistic model over three of the features, with the sum clipped at 35."""
-    return f"SELECT a, b, round(1 / (1 + exp(-least(35.0, greatest(-35.0, 4.0 * f_words + 3.0 * f_bigrams + 2.0 * f_length - 5.0)))), 6) AS score FROM ({feature_vector_core(d)}) s"
+    return _score(feature_vector_core(d))
 
 
 def threshold_filter(d):
@@ -260,6 +268,34 @@ def threshold_filter(d):
     return f"SELECT a, b, score FROM (SELECT a, b, score, max(score) OVER (PARTITION BY a) AS best FROM ({lr_score(d)}) s) t WHERE score >= 0.9 OR score >= 0.9 * best"
 
 
+def _names(d, of=lambda core: core):
+    """k: the parts of a brand, size, type and name, with their least and largest key; s: features of two names, computed
+    once for all parts of these names that make a pair."""
+    core = _core(d, lambda cols: f"SELECT a.p_name AS a, b.p_name AS b, {cols} FROM n")
+    return f"""k AS (SELECT p_brand, p_size, p_type, p_name, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part GROUP BY p_brand, p_size, p_type, p_name){stored('k')},
+      n AS (SELECT DISTINCT named_struct('p_name', a.p_name) AS a, named_struct('p_name', b.p_name) AS b FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type = b.p_type AND a.lo < b.hi), s AS ({of(core)}){stored('s')}"""
+
+
+def _expanded(columns, more="", left="(SELECT /*+ REPARTITION(p_partkey) */ * FROM part)"):
+    """All pairs: few bytes of parts make many, so they are dealt out first."""
+    return f"SELECT a.p_partkey AS a, b.p_partkey AS b, {columns} FROM {left} a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey JOIN s ON s.a <=> a.p_name AND s.b <=> b.p_name{more}"
+
+
+def feature_vector_core_named(d):
+    return f"WITH {_names(d)} {_expanded('f_equal, f_words, f_bigrams, f_overlap, f_length')}"
+
+
+def lr_score_named(d):
+    return f"WITH {_names(d, _score)} {_expanded('score')}"
+
+
+def threshold_filter_named(d):
+    """A part's best score, from the names that it meets in a part with a larger key, is known before the pairs are made."""
+    return f"""WITH {_names(d, _score)}, m AS (SELECT x.p_brand, x.p_size, x.p_type, x.p_name, y.hi, max(score) AS score FROM k x JOIN k y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_type = y.p_type AND x.lo < y.hi JOIN s ON s.a <=> x.p_name AND s.b <=> y.p_name GROUP BY ALL),
+      t AS (SELECT x.p_partkey, max(score) AS best FROM part x JOIN m ON m.p_brand = x.p_brand AND m.p_size = x.p_size AND m.p_type = x.p_type AND m.p_name <=> x.p_name AND x.p_partkey < m.hi GROUP BY x.p_partkey),
+      g AS (SELECT x.*, best FROM part x JOIN t ON t.p_partkey = x.p_partkey) {_expanded('score', ' WHERE score >= 0.9 OR score >= 0.9 * best', 'g')}"""
+
+
 def idf_cosine_pairs(d):
     return f"""WITH t AS (SELECT p_partkey AS id, w FROM part{d.explode(d.distinct(d.words('p_name')), 'e', 'w')}), f AS (SELECT w, ln((s.n + 1.0) / (count(*) + 1)) + 1 AS idf FROM t CROSS JOIN (SELECT count(*) AS n FROM part) s GROUP BY w, s.n),
       v AS (SELECT id, t.w, idf FROM t JOIN f ON t.w = f.w){stored('v')}, m AS (SELECT id, sqrt(sum(idf * idf)) AS norm FROM v GROUP BY id), p AS ({_pairs('1 AS one')})
@@ -402,14 +438,15 @@ def run(plan, spark: SparkSession, sf_dir: str) -> DataFrame:
             frames.setdefault(t, spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet"))
         return over(spark, sql, **frames)
 
+    opened = lambda sql: sql if sql.lstrip().startswith(("WITH", "SELECT")) else f"WITH {sql}"
     for before, name in zip(steps[::2], steps[1::2], strict=True):
-        frames[name] = scratch.stored(answer(f"{before} SELECT * FROM {name}"), f"plan-{plan.__name__}")
-        text = f"WITH {text}"
-    return answer(text)
+        frames[name] = scratch.stored(answer(f"{opened(before)} SELECT * FROM {name}"), f"plan-{name}")
+    return answer(opened(text))
 
 
 QUERIES = {p.__name__: partial(run, p) for p in PLANS}
 QUERIES |= {p.__name__.removesuffix("_whole"): partial(run, p) for p in (exact_key_join_whole, lsh_vote_topk_whole, cross_country_rescue_whole)}
+QUERIES |= {p.__name__: partial(run, partial(p, stored=stored)) for p in (counted.threshold_choice,)}
 QUERIES |= {"jaro_winkler_pairs": similarity.jaro_winkler_pairs, "fuzzy_ratio_pairs": similarity.fuzzy_ratio_pairs, "trained_lr_score": scoring.trained_lr_score, "trained_tree_score": scoring.trained_tree_score, "stream_resume": resume.event_totals}
 ORACLES = {p.__name__: p(DUCK) for p in PLANS}
 ORACLES |= {
