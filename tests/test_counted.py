@@ -11,6 +11,7 @@ from tests.test_queries import rows
 ALL = round(5 * 99_999 / (99_999 + 4 * 199_999), 6)  # F0.5 of a part that guesses all parts of its name
 COUNTED = {
     "threshold_choice": [(0.33, ALL)],
+    "country_slices": [("B0", ALL, 100_000), ("B1", ALL, 100_000)],
 }
 NAMED = []
 
