@@ -13,7 +13,7 @@ COUNTED = {
     "threshold_choice": [(0.33, ALL)],
     "country_slices": [("B0", ALL, 100_000), ("B1", ALL, 100_000)],
 }
-NAMED = []
+NAMED = ["lr_score"]
 
 
 def written(spark, path, found):
