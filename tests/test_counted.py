@@ -14,7 +14,7 @@ COUNTED = {
     "country_slices": [("B0", ALL, 100_000), ("B1", ALL, 100_000)],
     "recall_report": [(1.0, 1.0, 1.0, 1.0)],
 }
-NAMED = ["lr_score", "threshold_filter"]
+NAMED = ["feature_vector_core", "lr_score", "threshold_filter"]
 
 
 def written(spark, path, found):
