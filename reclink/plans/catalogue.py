@@ -447,7 +447,7 @@ def run(plan, spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {p.__name__: partial(run, p) for p in PLANS}
 QUERIES |= {p.__name__.removesuffix("_whole"): partial(run, p) for p in (exact_key_join_whole, lsh_vote_topk_whole, cross_country_rescue_whole)}
 QUERIES |= {p.__name__.removesuffix("_named"): partial(run, p) for p in (feature_vector_core_named, lr_score_named, threshold_filter_named)}
-QUERIES |= {p.__name__: partial(run, partial(p, stored=stored)) for p in (counted.threshold_choice, counted.country_slices, counted.recall_report, counted.macro_f05)}
+QUERIES |= {p.__name__: partial(run, partial(p, stored=stored)) for p in (counted.threshold_choice, counted.country_slices, counted.recall_report, counted.macro_f05, counted.threshold_sweep)}
 QUERIES |= {"jaro_winkler_pairs": similarity.jaro_winkler_pairs, "fuzzy_ratio_pairs": similarity.fuzzy_ratio_pairs, "trained_lr_score": scoring.trained_lr_score, "trained_tree_score": scoring.trained_tree_score, "stream_resume": resume.event_totals}
 ORACLES = {p.__name__: p(DUCK) for p in PLANS}
 ORACLES |= {

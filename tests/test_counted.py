@@ -14,6 +14,7 @@ COUNTED = {
     "country_slices": [("B0", ALL, 100_000), ("B1", ALL, 100_000)],
     "recall_report": [(1.0, 1.0, 1.0, 1.0)],
     "macro_f05": [(ALL, round(99_999 / 199_999, 6), 1.0, 200_000)],
+    "threshold_sweep": [(round(i / 20, 2), ALL) for i in range(1, 7)],
 }
 NAMED = ["feature_vector_core", "lr_score", "threshold_filter"]
 
