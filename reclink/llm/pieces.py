@@ -45,6 +45,7 @@ class Vocabulary:
                     child.append(nodes[p[:k]])
         order = np.argsort(np.array(keys))
         self.keys, self.child = np.array(keys, np.int64)[order], np.array(child, np.int64)[order]
+        self.hashed = None
         self.piece = np.full(len(nodes), -1, np.int64)
         for i, p in enumerate(pieces):
             if p:
@@ -71,6 +72,37 @@ class Vocabulary:
         logp[byte_ids] = -np.log(n) - 2
         return cls(pieces, logp, byte_ids)
 
+    def below(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The child of each node by a byte, or -1: an open hash table, made by each process for itself."""
+        if self.hashed is None:
+            bits = max(8, 2 + len(self.keys).bit_length())
+            slots, todo = np.full(1 << bits, -1, np.int64), np.arange(len(self.keys))
+            at = self._slot(self.keys, bits)
+            while len(todo):
+                free = slots[at[todo]] < 0
+                slots[at[todo[free]]] = todo[free]
+                todo = todo[slots[at[todo]] != todo]
+                at[todo] = (at[todo] + 1) & ((1 << bits) - 1)
+            used = slots >= 0
+            self.hashed = bits, np.where(used, self.keys[slots], -1), np.where(used, self.child[slots], -1)
+        bits, keys, child = self.hashed
+        want = node * 256 + byte
+        at = self._slot(want, bits)
+        found = keys[at]
+        out = np.where(found == want, child[at], -1)
+        rest = np.flatnonzero((found != want) & (found >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & ((1 << bits) - 1)
+            found = keys[at[rest]]
+            hit = found == want[rest]
+            out[rest[hit]] = child[at[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).view(np.int64)
+
     def edges(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All lattice edges (start, end, piece) over joined segments; ``ends``: where each byte's segment ends."""
         lead = (data & 0xC0) != 0x80
@@ -84,10 +116,9 @@ class Vocabulary:
         while len(origin):
             live = origin + depth < ends[origin]
             origin, node = origin[live], node[live]
-            want = node * 256 + data[origin + depth]
-            i = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-            live = self.keys[i] == want
-            origin, node = origin[live], self.child[i[live]]
+            node = self.below(node, data[origin + depth])
+            live = node >= 0
+            origin, node = origin[live], node[live]
             depth += 1
             p = self.piece[node]
             hit = p >= 0
@@ -117,12 +148,12 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return framed, start, np.searchsorted(start, np.append(begin, total))
 
 
-def forward(start, end, logp, seg_first, total):
-    """Log forward sums at all node positions (position + segment number: segments share no node)."""
+def forward(start, end, logp, offset, seg_first, total):
+    """Log forward sums at all node positions (position + segment number: segments share no node). The edges come by
+    their end; ``offset``: how far that is from the segment's first node."""
     alpha = np.full(total, -np.inf)
     alpha[seg_first] = 0.0
-    offset = end - seg_first[np.searchsorted(seg_first, end, side="right") - 1]
-    order = np.lexsort((end, offset))
+    order = np.argsort(offset.astype(np.uint16) if len(offset) and offset.max() < 1 << 16 else offset, kind="stable")
     s, e, w, o = start[order], end[order], logp[order], offset[order]
     cuts = np.flatnonzero(np.append(True, o[1:] != o[:-1])) if len(o) else []
     for k, a in enumerate(cuts):
@@ -152,14 +183,17 @@ def sample(vocab: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.ndarra
     joined = framed[np.repeat(start[rep] - begin[:-1], size) + np.arange(begin[-1])]
     seg = np.repeat(np.arange(len(rep)), size)
     a, b, piece = vocab.edges(joined, begin[1:][seg])
+    # Edges by end and start: no two have both.
+    order = np.argsort(b * (len(joined) + 1) + a)
+    a, b, piece = a[order], b[order], piece[order]
     logp = vocab.logp[piece] * alpha
-    a, b = a + seg[a], b + seg[a]  # node numbers: a segment of n bytes has n + 1 nodes
+    own = seg[a]
+    offset = b - begin[own]
+    a, b = a + own, b + own  # node numbers: a segment of n bytes has n + 1 nodes
     node0 = begin[:-1] + np.arange(len(rep))
     total = int(begin[-1]) + len(rep)
-    f = forward(a, b, logp, node0, total)
-    # Edges by end node, with cumulative probabilities.
-    order = np.lexsort((a, b))
-    a, b, piece, logp = a[order], b[order], piece[order], logp[order]
+    f = forward(a, b, logp, offset, node0, total)
+    # Cumulative probabilities of the edges that end at a node.
     live = np.isfinite(f[a]) & np.isfinite(f[b])
     a, b, piece, logp = a[live], b[live], piece[live], logp[live]
     p = np.exp(f[a] + logp - f[b])
@@ -169,7 +203,8 @@ def sample(vocab: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.ndarra
     c -= np.repeat(c[lead] - p[lead], n)
     c /= np.repeat(c[lead + n - 1], n)
     c[lead + n - 1] = 1.0
-    table_ = b + c
+    edge0 = np.zeros(total, np.int64)
+    edge0[b[lead]] = lead
     # Backward: all occurrences draw their edges together.
     docs = np.repeat(np.arange(len(off) - 1), np.diff(first))
     number = np.arange(len(start)) - first[docs]
@@ -180,7 +215,11 @@ def sample(vocab: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.ndarra
     count = np.zeros(len(start), np.int64)
     while len(live):
         u = (mix(state[live] + U64(mix_int(step + 7))) >> U64(11)).astype(np.float64) / 9007199254740992.0
-        e = np.searchsorted(table_, cur[live] + u, side="right")
+        e = edge0[cur[live]]
+        on = np.flatnonzero(c[e] <= u)
+        while len(on):  # the last edge of a node has 1, which no draw reaches
+            e[on] += 1
+            on = on[c[e[on]] <= u[on]]
         drawn.append((live, piece[e].astype(np.int32)))
         count[live] += 1
         cur[live] = a[e]
