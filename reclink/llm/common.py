@@ -7,6 +7,7 @@ memory depends on the longest document and not on the table.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, and the driver lets go of the step behind it: plans, broadcasts and shuffle files of frames that no
+    one holds would stay until it happens to collect its garbage, and its heap grows up to its limit before."""
+    out = stored(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 HEAVY = 2000
 
 
@@ -231,7 +241,7 @@ def bloom_test(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bitmap[bits >> 6] >> (bits & 63).astype(U64)) & U64(1) == 1
 
 
-def mapped(df: DataFrame, fn, fields: str, text: str = "text", more: tuple = ()) -> DataFrame:
+def mapped(df: DataFrame, fn, fields: str, text: str = "text", more: tuple = (), limit: int = SLICE_BYTES) -> DataFrame:
     """Append the columns ``fields`` (DDL) that ``fn(slice) -> list of Arrow arrays`` makes of each slice.
 
     The input row travels beside them as one struct, so no name can clash while Python has it. ``more``:
@@ -244,7 +254,7 @@ def mapped(df: DataFrame, fn, fields: str, text: str = "text", more: tuple = ())
     schema = T.StructType([given.schema["row"], *new.fields])
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=limit):
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("row")), *fn(part)], names=schema.names)
 
     out = given.mapInArrow(run, schema)

@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _FLAT, ROWS, U64, mapped, mix, mix_int, table, text_bytes
+from .common import _FLAT, ROWS, SLICE_BYTES, U64, mapped, mix, mix_int, table, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+SLICE = SLICE_BYTES // 2  # bytes of text whose lattice a worker holds at once
 
 
 class Vocabulary:
@@ -264,7 +265,7 @@ def encode(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "t
         lists = pa.ListArray.from_arrays(pa.array(np.append(begin[:-1], begin[-1]).astype(np.int32), mask=np.append(gone, False)), pa.array(ids))
         return [lists, pa.array(same, mask=gone)]
 
-    return mapped(df, run, "piece_ids array<int>, lossless boolean", text, more=(("key", F.xxhash64(key) if dict(df.dtypes)[key] == "string" else F.col(key).cast("long")),))
+    return mapped(df, run, "piece_ids array<int>, lossless boolean", text, more=(("key", F.xxhash64(key) if dict(df.dtypes)[key] == "string" else F.col(key).cast("long")),), limit=SLICE)
 
 
 def decode(df: DataFrame, vocab: Vocabulary, ids: str = "piece_ids", into: str = "text") -> DataFrame:
