@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, U64, Words, bloom_bitmap, bloom_column, bloom_test, int64, mix, salted_join, slices, stored, table, text_bytes
+from .common import SPACED, U64, Words, bloom_bitmap, bloom_column, bloom_test, int64, mix, salted_join, settled, slices, table, text_bytes
 
 COORDS, MATCHES = 40, 22
 SHINGLE = 3
@@ -119,7 +119,7 @@ def both_ways(e: DataFrame) -> DataFrame:
 def hops(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id within two steps. Not yet a component, but ids of one ``comp`` are connected;
     round one of a star needs no more, as all members are two steps apart."""
-    e = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct()
+    e = settled(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "near-hops")
     both = both_ways(e)
     one = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
     total = 2 * edges.count()
@@ -131,7 +131,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, comp) of the nodes of edges (a, b): comp is the smallest id reachable. Alternating large and small
     stars; each round keeps one edge a node at least, and the rounds needed grow with the logarithm. A hub's
     edges are dealt out by salts."""
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    e = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     before, n = None, e.count()
     while True:
         both = both_ways(e)
@@ -139,7 +139,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = salted_join(both, least, ["u"], 2 * n, ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
         small = salted_join(large, down, ["u"], 2 * n, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        e = stored(small, name)
+        e = settled(small, name)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
@@ -179,11 +179,15 @@ def across(members: DataFrame, total: int, sets: DataFrame, matches: int, percen
     members, one is compared. A list is cut into blocks of about MEMBERS members and SHINGLES shingles. A list of
     one block meets itself where it was gathered; of B blocks, each meets the B / 2 that follow it in a circle, so
     the meetings of a long list are dealt out evenly by (list, block). Each meeting is one row with both blocks:
-    what is shuffled is the members times B / 2, and texts that are alike but not linked never become rows."""
+    what is shuffled is the members times B / 2, and texts that are alike but not linked never become rows.
+
+    What is read several times is stored first (``members`` too): each use would repeat its whole plan, and the
+    driver describes a plan anew whenever one of its stages ends."""
     digest = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"h{k}") for k in (0, 1)]
     one = members.groupBy("pair").agg(F.count("*").alias("c"), F.max("w").alias("w"), *digest).groupBy("c", "h0", "h1").agg(F.min(F.struct("pair", "w")).alias("x"))
     blocks = F.greatest(F.ceil(F.col("c") / MEMBERS), F.ceil(F.col("x.w") / SHINGLES)).cast("int")
-    kept = salted_join(members.select("pair", "id", "comp"), one.select("x.pair", "c", blocks.alias("blocks")), ["pair"], total, ["id"])
+    one = settled(one.select("x.pair", "c", blocks.alias("blocks")), "near-open-lists")
+    kept = settled(salted_join(members.select("pair", "id", "comp"), one, ["pair"], total, ["id"]), "near-compared")
     whole = kept.join(sets.select(F.col("doc_id").alias("id"), "n", "sig", "members").hint("merge"), "id")
     item = F.collect_list(F.struct("id", "comp", "n", "sig", "members")).alias("x")
     packed = whole.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).groupBy("pair", "block").agg(F.max("blocks").alias("blocks"), item)
@@ -228,9 +232,9 @@ def across(members: DataFrame, total: int, sets: DataFrame, matches: int, percen
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coords: int = COORDS, matches: int = MATCHES, percent: int = PERCENT, rounds: int = ROUNDS, size: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    rows = stored(signatures(docs, doc_id, text, coords, size), "near-signatures")
+    rows = settled(signatures(docs, doc_id, text, coords, size), "near-signatures")
     classes = rows.where(F.col("n").cast("boolean") & F.col("doc_id").isNotNull()).groupBy("s1", "s2", "n")
-    classes = stored(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.any_value("sig").alias("sig")), "near-classes")
+    classes = settled(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.any_value("sig").alias("sig")), "near-classes")
     # One row for each smallest id. Classes can share one only where rows repeat an id with other texts.
     sigs = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("n", "s1", "s2", "sig")).alias("x")).select("doc_id", "x.*")
     posted = sigs.select("doc_id", "n", F.posexplode("sig").alias("coord", "value")).select("doc_id", "n", F.xxhash64("coord", "value").alias("pair"))
@@ -243,12 +247,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # How typical a set is: the postings that its pairs have in all. The most typical member of a list is near
     # the text that the others were copied from, and most of them link to it at once.
     typical = F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("typical")
-    lists = stored(listed.select(F.col("doc_id").alias("id"), "n", typical, F.explode(F.slice("p", F.lit(1), places)).alias("x")).select("id", "n", "typical", F.col("x.pair").alias("pair")), "near-postings")
+    lists = settled(listed.select(F.col("doc_id").alias("id"), "n", typical, F.explode(F.slice("p", F.lit(1), places)).alias("x")).select("id", "n", "typical", F.col("x.pair").alias("pair")), "near-postings")
     sizes = lists.groupBy("pair").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1")
-    lists = stored(salted_join(lists, sizes.withColumn("size", F.col("c")), ["pair"], lists.count(), ["id"]).withColumnRenamed("size", "c").drop("n"), "near-lists")
+    lists = settled(salted_join(lists, sizes.withColumn("size", F.col("c")), ["pair"], lists.count(), ["id"]).withColumnRenamed("size", "c").drop("n"), "near-lists")
     total = lists.count()
-    wanted = stored(sigs.join(lists.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "near-candidates")
-    sets = stored(full_sets(docs, wanted, doc_id, text, size), "near-sets")
+    wanted = settled(sigs.join(lists.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "near-candidates")
+    sets = settled(full_sets(docs, wanted, doc_id, text, size), "near-sets")
     labels = None
 
     def open_lists(r: int) -> DataFrame:
@@ -262,17 +266,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return links if labels is None else links.unionByName(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")))
 
     for r in range(rounds):
-        pairs = stored(open_lists(r).where("comp <> co").select("id", "o").distinct(), "near-pairs")
-        links = stored(confirmed(pairs, sets, matches, percent), "near-links")
+        pairs = settled(open_lists(r).where("comp <> co").select("id", "o").distinct(), "near-pairs")
+        links = settled(confirmed(pairs, sets, matches, percent), "near-links")
         if not links.isEmpty():  # else this round's centres link to none, which says nothing of the other members
-            labels = stored(hops(with_labels(links)), "near-labels")
-    rest = stored(across(open_lists(rounds).select("pair", "id", "comp", "w"), total, sets, matches, percent), "near-rest")
+            labels = settled(hops(with_labels(links)), "near-labels")
+    left = settled(open_lists(rounds).select("pair", "id", "comp", "w"), "near-open")
+    rest = settled(across(left, total, sets, matches, percent), "near-rest")
     edges = with_labels(rest)
     named = classes.drop("sig")
     if edges.isEmpty():
         named = named.withColumn("comp", F.lit(None).cast("long"))
     else:
-        named = named.join(stored(components(edges), "near-components").withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
+        named = named.join(settled(components(edges), "near-components").withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
     # Rows of a class of equal sets come under its component; a class of one row and one component is left out.
     named = named.select("s1", "s2", "n", "c", F.coalesce("comp", "rep").alias("comp"), "rep").where("c > 1 or comp <> rep").drop("rep")
     out = salted_join(rows.drop("sig"), named, ["s1", "s2", "n"], max(1, rows.count()), ["doc_id"], "left")
@@ -282,7 +287,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """The documents without near-duplicates: the one of smallest doc_id of each group stays, once."""
-    found = stored(near_duplicates(docs, doc_id, text, **kw), "near-result")
+    found = settled(near_duplicates(docs, doc_id, text, **kw), "near-result")
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))  # a struct, as docs may have any columns
     left = rows.join(gone, "doc_id", "left_anti")
