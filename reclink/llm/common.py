@@ -244,19 +244,45 @@ def bloom_test(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
 def mapped(df: DataFrame, fn, fields: str, text: str = "text", more: tuple = (), limit: int = SLICE_BYTES) -> DataFrame:
     """Append the columns ``fields`` (DDL) that ``fn(slice) -> list of Arrow arrays`` makes of each slice.
 
-    The input row travels beside them as one struct, so no name can clash while Python has it. ``more``:
+    The input row travels beside them as one struct, so no name can clash while Python has it; the text is read out of
+    that struct, and sent once, wherever it is a string in it (``text`` may be a path such as ``row.text``). ``more``:
     (alias, column) pairs that ``fn`` reads besides the text. A new column replaces one of the same name."""
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
     new = T._parse_datatype_string(fields)
-    given = df.select(F.col(text).cast("string").alias("text"), *[c.alias(a) for a, c in more], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    path = _path(df.schema, text)
+    apart = [] if path else [F.col(text).cast("string").alias("text")]
+    given = df.select(*apart, *[c.alias(a) for a, c in more], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     schema = T.StructType([given.schema["row"], *new.fields])
 
     def run(batches):
-        for part in slices(batches, limit=limit):
+        for part in slices((_with_text(b, path) for b in batches), limit=limit):
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("row")), *fn(part)], names=schema.names)
 
     out = given.mapInArrow(run, schema)
     names = set(new.names)
     return out.select(*[F.col(f"row.`{c}`") for c in df.columns if c not in names], *[F.col(f"`{c}`") for c in new.names])
+
+
+def _path(schema, text: str) -> list[int] | None:
+    """The field numbers that lead to a string column; None if the name is not exactly there or of another type."""
+    from pyspark.sql import types as T
+
+    path, kind = [], schema
+    for name in text.split("."):
+        if not isinstance(kind, T.StructType) or kind.names.count(name) != 1:
+            return None
+        path.append(kind.names.index(name))
+        kind = kind.fields[path[-1]].dataType
+    return path if kind == T.StringType() else None
+
+
+def _with_text(batch: pa.RecordBatch, path: list[int] | None) -> pa.RecordBatch:
+    """The batch with its text as first column, taken (without a copy) from the struct ``row``."""
+    if not path:
+        return batch
+    text = batch.column(batch.schema.get_field_index("row"))
+    for k in path:
+        text = text.field(k)
+    return pa.RecordBatch.from_arrays([text, *batch.columns], names=["text", *batch.schema.names])

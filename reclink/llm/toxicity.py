@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LETTERS, U64, Words, mapped, stored, table, text_bytes
+from .common import LETTERS, SLICE_BYTES, U64, Words, mapped, slices, stored, table, text_bytes
 
 PER_CLASS = 1500
 FIT_BYTES = 6 << 20
 CLEAN = 20_000
+SLICE = SLICE_BYTES // 3  # bytes of text whose tokens a worker makes at once
 BITS = 18
 PREFIXES = (3, 4, 5, 6, 8)
 BREAK = np.zeros(256, bool)
@@ -65,6 +66,18 @@ class Chains:
         cols.append((size + shape).astype(np.int32))
         self.features = np.stack(cols, axis=1) if n else np.zeros((0, len(cols)), np.int32)
 
+    @classmethod
+    def sliced(cls, text: pa.Array) -> Chains:
+        """Head, doc and features as of one ``Chains`` over all texts, made slice by slice; without ``w``."""
+        parts, docs = [(np.zeros(0, bool), np.zeros(0, np.int64), np.zeros((0, 2 + len(PREFIXES)), np.int32))], 0
+        for part in slices([pa.RecordBatch.from_arrays([text], names=["text"])], limit=SLICE):
+            c = cls(*text_bytes(part.column(0)))
+            parts.append((c.head, c.doc + docs, c.features))
+            docs += part.num_rows
+        out = cls.__new__(cls)
+        out.head, out.doc, out.features = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return out
+
 
 WIDTH = (1 << BITS) + SHAPES + 1
 
@@ -206,10 +219,9 @@ def fitted(rows: pa.Table, counts: dict[int, int], clean: int) -> Model:
     # A quarter is kept from the chain, so that the link sees marginals as they are on unseen texts.
     aside = np.arange(len(toxic)) % 4 == 3
     text = rows["text"].combine_chunks()
-    data, off = text_bytes(text.filter(pa.array(~aside)))
-    c, y = Chains(data, off), toxic[~aside]
+    c, y = Chains.sliced(text.filter(pa.array(~aside))), toxic[~aside]
     model = Model(*fit_chain(c, token_labels(c, y), clean), None)
-    del c, data, off
+    del c
     if len(set(toxic[aside])) < 2:  # too few rows to keep any aside
         aside = np.ones(len(toxic), bool)
     y = toxic[aside]
@@ -300,5 +312,5 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose score is below 0.7. Labels are matched to the documents given."""
     model = train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")  # a struct, as docs may have any columns
-    return tag(rows, model).where(F.col("toxic_score") < LINK).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # a struct, as docs may have any columns
+    return tag(rows, model, text="row.text").where(F.col("toxic_score") < LINK).select("row.*")
