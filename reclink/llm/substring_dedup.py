@@ -13,10 +13,11 @@ has one.) Windows that share an anchor form one stretch of about ten windows, an
 3. Repeated stretches and windows are united for each document, and the words they cover are removed.
 
 Equal stretches within a slice are combined before the shuffle, so a stretch in a third of all documents
-arrives with one row a slice. The names that are frequent even so (in a sixteenth of the documents; HEAVY bounds
-their number) are judged by sums that combine before the shuffle, and their rows are dealt out by salts; how a
-name is judged changes no result. Documents that need no second look are never shuffled; a bitmap of fixed size
-keeps most of them back, and the joins are exact.
+arrives with one row a slice. The names and windows that are frequent even so (in a sixteenth of the documents;
+HEAVY bounds their number) are judged by sums that combine before the shuffle, and their rows are dealt out by
+salts; how they are judged changes no result. All others are shuffled once. A step is stored, and the driver then
+lets go of the shuffle files of those before it. Documents that need no second look are never shuffled; a bitmap
+of fixed size keeps most of them back, and the joins are exact.
 
 Names stand in for the dictionaries of Spark rounds: one round that names all pairs of a corpus by a shuffled
 dictionary and joins the names back costs more than this operator's whole budget (README).
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, U64, Words, bloom_bitmap, bloom_column, bloom_test, hot_keys, int64, mix, salted_join, slices, stored, table, text_bytes
+from .common import SPACED, U64, Words, bloom_bitmap, bloom_column, bloom_test, hot_keys, int64, mix, salted_join, settled, slices, table, text_bytes
 
 WINDOW, LEVELS = 20, 3
 FAR = 1 << 40
@@ -235,36 +236,49 @@ def _needed(docs: DataFrame, given: DataFrame, doc_id: str, text: str) -> DataFr
     return few.join(given, "name").select("doc_id", "text", "name", "spans")
 
 
+def _parted(rows: DataFrame, key: list[str], total: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of the keys that are not frequent, and of those that are, by the rows of a sixteenth of the documents."""
+    share = 16
+    some = rows.where(F.pmod(F.xxhash64("name"), F.lit(share)) == 0).groupBy(*key).agg(F.count("*").alias("c"))
+    marked = rows.join(F.broadcast(settled(hot_keys(some, max(1, total // share)), name)), key, "left")
+    return marked.where("salts is null").drop("salts"), marked.where("salts is not null").drop("salts")
+
+
 def judged_stretches(rows: DataFrame, documents: int) -> DataFrame:
     """(doc_id, name, span, later) of the stretches (key, u, doc_id, name, span) that come later than an equal
     one, and of the first ones whose anchor name ``key`` occurs with more than one text ``u``."""
-    share = 16  # names are frequent or not by the stretches of a sixteenth of the documents
-    some = rows.where(F.pmod(F.xxhash64("name"), F.lit(share)) == 0).groupBy("key").agg(F.count("*").alias("c"))
-    hot = stored(hot_keys(some, max(1, documents // share)), "stretch-frequent")
-    marked = rows.join(F.broadcast(hot), "key", "left")
+    few, many = _parted(rows, ["key"], documents, "stretch-frequent")
     by_text, by_name = Window.partitionBy("key", "u"), Window.partitionBy("key")
-    few = marked.where("salts is null").drop("salts").repartition("key")
+    few = few.repartition("key")
     few = few.withColumn("d", F.min("doc_id").over(by_text)).withColumn("texts", F.min("u").over(by_name) != F.max("u").over(by_name))
-    many = marked.where("salts is not null").drop("salts")
     texts = many.groupBy("key", "u").agg(F.min("doc_id").alias("d"), F.count("*").alias("c"))
     names = texts.groupBy("key").agg((F.min("u") != F.max("u")).alias("texts"))  # 2 * HEAVY rows at most
     many = salted_join(many, texts.join(F.broadcast(names), "key"), ["key", "u"], max(1, documents), ["name", "span"])
     return few.unionByName(many.select(few.columns)).where("doc_id > d or texts").select("doc_id", "name", "span", (F.col("doc_id") > F.col("d")).alias("later"))
 
 
+def judged_windows(rows: DataFrame) -> DataFrame:
+    """(name, at) of the windows (u1, u2, doc_id, name, at) that come later than an equal one. A slice sends equal
+    windows once but for rows of one doc_id, so frequent ones are rare."""
+    total = max(1, rows.count())
+    few, many = _parted(rows, ["u1", "u2"], total, "window-frequent")
+    few = few.withColumn("d", F.min("doc_id").over(Window.partitionBy("u1", "u2")))
+    sums = many.groupBy("u1", "u2").agg(F.min("doc_id").alias("d"), F.count("*").alias("c"))
+    many = salted_join(many, sums, ["u1", "u2"], total, ["name", "at"])
+    return few.unionByName(many.select(few.columns)).where("doc_id > d").select("name", "at")
+
+
 def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(one row a document: doc_id, name, n_words, sha of all words; repeated word ranges: name, at, size)."""
     at, size = F.floor(F.col("span") / SPAN).alias("at"), (F.col("span") % SPAN).alias("size")
-    parts = stored(named(docs, doc_id, text).mapInArrow(lambda batches: (_stretches(p) for p in slices(batches)), "kind long, key long, u long, doc_id long, name long, span long, sha string"), "stretches")
+    parts = settled(named(docs, doc_id, text).mapInArrow(lambda batches: (_stretches(p) for p in slices(batches)), "kind long, key long, u long, doc_id long, name long, span long, sha string"), "stretches")
     every = parts.where("kind = 0").select("doc_id", "name", F.col("span").alias("n_words"), "sha")
-    judged = stored(judged_stretches(parts.where("kind = 1").select("key", "u", "doc_id", "name", "span"), every.count()), "stretch-judged")
+    judged = settled(judged_stretches(parts.where("kind = 1").select("key", "u", "doc_id", "name", "span"), every.count()), "stretch-judged")
     later = judged.where("later").select("name", at, size)
     unsure = judged.where("not later").select("name", F.struct(at, size).alias("x")).groupBy("name").agg(F.collect_set("x").alias("spans"))  # as long as the document at most
-    unsure = stored(unsure, "stretch-unsure")
-    wins = stored(_needed(docs, unsure, doc_id, text).mapInArrow(lambda batches: (_windows(p) for p in slices(batches)), "kind long, u1 long, u2 long, doc_id long, name long, at long"), "stretch-windows")
-    one = wins.where("kind = 1").select("u1", "u2", "doc_id", "name", "at")
-    twice = one.groupBy("u1", "u2").agg(F.min("doc_id").alias("d"), F.count("*").alias("c")).where("c > 1")
-    again = salted_join(one, twice, ["u1", "u2"], max(1, one.count()), ["name", "at"]).where("doc_id > d").select("name", "at").unionByName(wins.where("kind = 2").select("name", "at"))
+    unsure = settled(unsure, "stretch-unsure")
+    wins = settled(_needed(docs, unsure, doc_id, text).mapInArrow(lambda batches: (_windows(p) for p in slices(batches)), "kind long, u1 long, u2 long, doc_id long, name long, at long"), "stretch-windows")
+    again = judged_windows(wins.where("kind = 1").select("u1", "u2", "doc_id", "name", "at")).unionByName(wins.where("kind = 2").select("name", "at"))
     ranges = parts.where("kind = 2").select("name", at, size).unionByName(later).unionByName(again.withColumn("size", F.lit(WINDOW).cast("long")))
     return every, ranges
 
@@ -285,7 +299,7 @@ def _cut(part: pa.RecordBatch):
 
 def cut_texts(docs: DataFrame, ranges: DataFrame, doc_id: str, text: str, whole: bool) -> DataFrame:
     """doc_id, name, n_removed, and the text that stays (``whole``) or its digest, of documents with ranges."""
-    own = stored(ranges.groupBy("name").agg(F.collect_set(F.struct("at", "size")).alias("spans")), "stretch-ranges")  # as long as the document at most
+    own = settled(ranges.groupBy("name").agg(F.collect_set(F.struct("at", "size")).alias("spans")), "stretch-ranges")  # as long as the document at most
 
     def run(batches):
         for part in slices(batches):
